@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetweave.llm import bpe, quality
+from fleetweave.llm import bpe, decontam, quality, substring, superminhash
 from fleetweave.llm._spark import Workspace, table
 
 
@@ -14,12 +14,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs, weights)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, and all documents in no group."""
+    return superminhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document holds."""
+    return substring.without_repeats(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    return decontam.without(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document."""
     return bpe.encode_documents(docs)
 
 
-STAGES = [("quality classifier", keep_good), ("byte-level BPE", tokenise)]
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("byte-level BPE encoding and decoding", tokenise),
+]
 
 ORACLE_SQL = None
 

@@ -142,3 +142,11 @@ def components(ws: Workspace, edges: DataFrame, name: str, keep: bool = False) -
 
 Batches = Iterator[pa.RecordBatch]
 Mapper = Callable[[Batches], Batches]
+
+#: rows of ids that may be broadcast; about 64 MB as a hash relation
+BROADCAST_ROWS = 2_000_000
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``most`` narrow rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df

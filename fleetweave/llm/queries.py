@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetweave.llm import bpe, compress_bands, html_blocks, license, quality
+from fleetweave.llm import bpe, compress_bands, decontam, html_blocks, license, quality, substring, superminhash
 from fleetweave.llm._spark import table
 
 
@@ -14,10 +14,22 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_bands.compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
+def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +59,10 @@ SELECT doc_id, license, rule, n_found, NOT EXISTS (SELECT 1 FROM hits o WHERE o.
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_compression_bands": op2_compression_bands,
+    "op4_decontamination": op4_decontamination,
     "op5_html_blocks": op5_html_blocks,
+    "op6_substring_chains": op6_substring_chains,
+    "op7_superminhash": op7_superminhash,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_license_scan": op10_license_scan,

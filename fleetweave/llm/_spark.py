@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetweave.session import ship
 
+
 class Workspace:
     """Tables written to the shared folder of spark.checkpoint.dir; all but the kept ones go at the end.
 
@@ -23,6 +24,8 @@ class Workspace:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
             base = "file://" + tempfile.mkdtemp(prefix="fleetweave-")
         self.root = f"{base.rstrip('/')}/fleetweave-{uuid.uuid4().hex}"
         self.written: dict[str, bool] = {}

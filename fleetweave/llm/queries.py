@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetweave.llm import bpe, compress_bands, decontam, html_blocks, license, quality, substring, superminhash
+from fleetweave.llm import bpe, compress_bands, decontam, html_blocks, license, link_trust, lm_automaton, quality, substring, superminhash
 from fleetweave.llm._spark import table
 
 
+def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_bands.compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_automaton.score(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +66,9 @@ SELECT doc_id, license, rule, n_found, NOT EXISTS (SELECT 1 FROM hits o WHERE o.
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_link_trust": op1_link_trust,
     "op2_compression_bands": op2_compression_bands,
+    "op3_lm_automaton": op3_lm_automaton,
     "op4_decontamination": op4_decontamination,
     "op5_html_blocks": op5_html_blocks,
     "op6_substring_chains": op6_substring_chains,
@@ -68,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {"op10_license_scan": _license_sql()}
+ORACLES: dict[str, str] = {"op1_link_trust": link_trust.sql(), "op3_lm_automaton": lm_automaton.sql(), "op10_license_scan": _license_sql()}

@@ -1,13 +1,14 @@
-"""Near duplicates by SuperMinHash signatures, banding, exact verification and union-find grouping.
+"""Near duplicates by SuperMinHash signatures, banding, verification and union-find grouping.
 
 Each distinct word shingle of a text walks a random permutation of the registers; its step number plus a uniform
 number is the rank it offers to the register it stands on, and each register keeps the least. The ranks of one
 element are a permutation, not independent draws, which lowers the variance. A walk stops as soon as every register
-of the text is taken, for later steps offer higher ranks only. Bands of equal registers give buckets. In a bucket all
-members are held against the one with the smallest doc_id, so pairs grow with the members, not with their square;
-pairs are verified by the exact Jaccard similarity of the shingle sets. Members that fail there and that no other
-bucket has joined to it are held against the smallest among themselves, round after round, until none is left over.
-Connected components of verified pairs are the groups; the smallest doc_id of a group stays.
+of the text is taken, for later steps offer higher ranks only. Bands of equal registers give buckets. The members of a
+bucket are verified on whole signatures, one byte a register: texts are near duplicates if the share of equal
+registers says that the Jaccard similarity of their shingles is at least ``least``. A bucket is linked as if all its
+pairs were held against each other, but the triangle inequality of the distance spares most: members gather around
+leaders, and of two clusters only members far enough from their leaders are compared. Connected components of the
+links are the groups; the smallest doc_id of a group stays.
 
 Equal texts form a group before that, so copies in any number cost one row each.
 
@@ -19,6 +20,8 @@ other columns are ignored by ``groups_of`` and kept by ``keep_one``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetweave.llm._spark import Batches, Workspace, components, if_small
+from fleetweave.llm._spark import Batches, Workspace, components, if_small, sorted_groups
 from fleetweave.llm._text import groups, mix, ngrams, shingles, words
 
 SHINGLE, REGISTERS, BANDS, LEAST_JACCARD = 3, 160, 40, 0.5
@@ -94,49 +97,77 @@ def _long_list(ptr: np.ndarray, flat: np.ndarray) -> pa.Array:
 
 def _sign(shingle: int, registers: int, bands: int):
     def run(batches: Batches) -> Batches:
-        """doc_id, two halves of a hash of the text, band keys (none for a text without words)."""
+        """doc_id, two halves of a hash of the text, band keys (none for a text without words), a byte of each register."""
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in groups(texts):
                 some = texts[lo:hi]
                 sets = text_sets(some, shingle)
                 ptr = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-                keys = band_keys(signatures(np.concatenate(sets) if sets else np.zeros(0, np.uint64), ptr, registers), bands)
+                sig = signatures(np.concatenate(sets) if sets else np.zeros(0, np.uint64), ptr, registers)
+                keys = band_keys(sig, bands)
                 full = np.diff(ptr) > 0
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in some), np.int64).reshape(-1, 2)
                 at = np.concatenate(([0], np.cumsum(full * bands)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), _long_list(at, keys[full].reshape(-1))], ["doc_id", "h1", "h2", "bands"])
-
-    return run
-
-
-def _shingle_rows(shingle: int):
-    def run(batches: Batches) -> Batches:
-        """doc_id and its sorted distinct shingles, 4 bytes each: a set of a million still errs in under one of 4000."""
-        for b in batches:
-            sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in text_sets(b.column(1).to_pylist(), shingle)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "sh"])
+                low = (sig & np.uint64(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), _long_list(at, keys[full].reshape(-1)), pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "h1", "h2", "bands", "sig"])
 
     return run
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays of distinct values; two empty sets are equal."""
-    both = np.sort(np.concatenate((a, b)), kind="stable")
-    n = int((both[1:] == both[:-1]).sum())
-    return n / (len(a) + len(b) - n) if len(a) + len(b) else 1.0
-
-
-def _verify(least: float):
+def most_unlike(registers: int, least: float) -> int:
+    """Registers that may differ; unequal ones have equal bytes one time in 256."""
+    return registers - math.ceil(registers * (least + (1 - least) / 256) - 1e-9)
+
+
+def link(sig: np.ndarray, most: int) -> np.ndarray:
+    """The component of each row where rows with at most ``most`` different bytes are linked: the number of its first row."""
+    n = len(sig)
+    parent = np.arange(n)
+
+    def unite(rows: np.ndarray) -> None:
+        tops = np.unique(parent[rows])
+        if len(tops) > 1:
+            parent[np.isin(parent, tops[1:])] = tops[0]
+
+    leader, leaders, far = np.full(n, -1), [], []
+    for i in range(n):
+        if leader[i] < 0:
+            d = (sig != sig[i]).sum(1, dtype=np.int16)
+            near = d <= most
+            leader[near & (leader < 0)] = len(leaders)
+            leaders.append(i)
+            far.append(d)
+            unite(np.flatnonzero(near))
+    if len(leaders) > 1:
+        at, distance = np.array(leaders), np.stack(far)
+        own = distance[leader, np.arange(n)].astype(np.int64)
+        radius = np.zeros(len(at), np.int64)
+        np.maximum.at(radius, leader, own)
+        close = distance[:, at] <= most + radius[:, None] + radius[None, :]
+        for x, y in zip(*np.nonzero(np.triu(close, 1))):
+            if parent[at[x]] == parent[at[y]]:
+                continue
+            one, two = np.flatnonzero(leader == x), np.flatnonzero(leader == y)
+            one = one[distance[y, one] <= most + radius[y]]
+            two = two[distance[x, two] <= most + radius[x]]
+            for i in one:
+                some = two[distance[x, two] - own[i] <= most]
+                some = some[(sig[some] != sig[i]).sum(1) <= most]
+                if len(some):
+                    unite(np.array([i, some[0]]))
+                    break
+    return parent
+
+
+def _link(most: int):
     def run(batches: Batches) -> Batches:
-        for b in batches:
-            ok = []
-            last, left = None, None
-            for x, y in zip(b.column("sh_a"), b.column("sh_b")):
-                if last is None or x != last:
-                    last, left = x, np.frombuffer(x.as_py(), np.uint32)
-                ok.append(jaccard(left, np.frombuffer(y.as_py(), np.uint32)) >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+        for t in sorted_groups(batches, ["key"]):
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            top, ids = link(sig, most), t.column("doc_id").to_numpy()
+            other = np.flatnonzero(top != np.arange(len(top)))
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[top[other]]), pa.array(ids[other])], ["a", "b"])
 
     return run
 
@@ -145,40 +176,19 @@ def groups_of(docs: DataFrame, shingle: int = SHINGLE, registers: int = REGISTER
     """(doc_id, group_id) of all documents in a group of two or more, the group's smallest doc_id included."""
     base = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null")
     with Workspace(docs.sparkSession) as ws:
-        signed = ws.write(base.mapInArrow(_sign(shingle, registers, bands), "doc_id long, h1 long, h2 long, bands array<long>"), "signed")
-        copies = signed.withColumn("first", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
-        equal = ws.write(copies.where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "equal")
-        # one row a distinct text goes on
-        keyed = copies.where("first = doc_id").select("doc_id", F.explode("bands").alias("key"))
-        keyed = keyed.withColumn("leader", F.min("doc_id").over(Window.partitionBy("key")))
-        keyed = keyed.withColumn("last", F.max("doc_id").over(Window.partitionBy("key"))).where("leader <> last").select("key", "doc_id", "leader")
-        keyed = ws.write(keyed, "keyed")
-        ws.drop("signed")
-        wanted = ws.write(keyed.select("doc_id").distinct(), "wanted")
-        sets = base.join(if_small(wanted), "doc_id", "left_semi").mapInArrow(_shingle_rows(shingle), "id long, sh binary")
-        sets = ws.write(sets, "sets")
-
-        joined, tried, k = equal, None, 0
-        while True:
-            pairs = keyed.where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            left, right = sets.select(F.col("id").alias("a"), F.col("sh").alias("sh_a")), sets.select(F.col("id").alias("b"), F.col("sh").alias("sh_b"))
-            judged = ws.write(pairs.join(right, "b").join(left, "a").select("a", "b", "sh_a", "sh_b").mapInArrow(_verify(least), "a long, b long, ok boolean"), f"judged{k}")
-            tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
-            joined = joined.unionByName(judged.where("ok").select("a", "b"))
-            if judged.where("not ok").isEmpty():
-                break
-            # members that nothing has joined to their leader go on among themselves
-            roots = components(ws, joined, f"so-far{k}")
-            of = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
-            over = keyed.join(of("doc_id", "r1"), "doc_id", "left").join(of("leader", "r2"), "leader", "left").where("coalesce(r1, doc_id) <> coalesce(r2, leader)").select("key", "doc_id")
-            over = over.withColumn("leader", F.min("doc_id").over(Window.partitionBy("key"))).withColumn("last", F.max("doc_id").over(Window.partitionBy("key"))).where("leader <> last").select("key", "doc_id", "leader")
-            k += 1
-            keyed = ws.write(over, f"keyed{k}")
-            if keyed.isEmpty():
-                break
-        found = components(ws, joined, "groups", keep=True)
+        signed = base.mapInArrow(_sign(shingle, registers, bands), "doc_id long, h1 long, h2 long, bands array<long>, sig binary")
+        signed = signed.withColumn("first", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
+        only = F.col("first") == F.col("doc_id")  # one row a distinct text goes on
+        signed = ws.write(signed.select("doc_id", "first", F.when(only, F.col("bands")).alias("bands"), F.when(only, F.col("sig")).alias("sig")), "signed")
+        equal = signed.where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+        keyed = signed.where("first = doc_id").select("doc_id", F.explode("bands").alias("key")).distinct()
+        whole = Window.partitionBy("key")
+        keyed = keyed.withColumn("low", F.min("doc_id").over(whole)).withColumn("high", F.max("doc_id").over(whole)).where("low <> high").select("key", "doc_id")
+        # rows that repeat a doc_id each bring their signature
+        sigs = signed.where("first = doc_id").select("doc_id", "sig")
+        members = keyed.join(sigs, "doc_id").repartition("key").sortWithinPartitions("key", "doc_id", "sig")
+        links = members.mapInArrow(_link(most_unlike(registers, least)), "a long, b long").where("a <> b")
+        found = components(ws, equal.unionByName(links), "groups", keep=True)
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")).unionByName(found.select("root").distinct().select(F.col("root").alias("doc_id"), F.col("root").alias("group_id")))
 
 

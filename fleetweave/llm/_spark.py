@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 from fleetweave.session import ship
 
 
+#: bytes of texts that go to Python at once, where the session names no other size
+BATCH_BYTES = 8 << 20
+
+
+def tune(spark: SparkSession) -> None:
+    """Batches of bounded size, whatever the length of the texts: Spark's own limit of rows says nothing about that."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Workspace:
     """Tables written to the shared folder of spark.checkpoint.dir; all but the kept ones go at the end.
 
@@ -22,6 +33,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        tune(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if base is None:
             if not spark.sparkContext.master.startswith("local"):
@@ -52,6 +64,7 @@ class Workspace:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

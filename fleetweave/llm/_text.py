@@ -73,7 +73,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return hashes, starts - shift, ends - shift, ptr
 
 
-def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters together, so that the arrays stay small."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

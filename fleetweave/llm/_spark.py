@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -134,7 +135,7 @@ def components(ws: Workspace, edges: DataFrame, name: str, keep: bool = False) -
     Union-find contracts each partition to stars; large-star and small-star rounds then join the stars of all
     partitions. Each round is written to the workspace, so no round is computed again after a lost executor.
     """
-    now = ws.write(edges.toDF("node", "root").mapInArrow(_contract, "node long, root long"), f"{name}-0")
+    now = ws.write(edges.toDF("node", "root").mapInArrow(tidy(_contract), "node long, root long"), f"{name}-0")
     k = 0
     while True:
         both = now.select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -159,6 +160,31 @@ def components(ws: Workspace, edges: DataFrame, name: str, keep: bool = False) -
 Batches = Iterator[pa.RecordBatch]
 Mapper = Callable[[Batches], Batches]
 
+_libc = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages and would hold on to their peak."""
+    global _libc
+    pa.default_memory_pool().release_unused()
+    try:
+        if _libc is None:
+            _libc = ctypes.CDLL("libc.so.6")
+        _libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run: Mapper) -> Mapper:
+    """The mapper, with its worker's freed memory released at the end of each task."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 #: rows of ids that may be broadcast; about 64 MB as a hash relation
 BROADCAST_ROWS = 2_000_000
 

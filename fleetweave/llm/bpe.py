@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetweave.llm._spark import Batches, Workspace
+from fleetweave.llm._spark import Batches, Workspace, tidy
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -173,21 +173,21 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int =
         raise ValueError("the overlap must be positive and at most a chunk")
     base = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     short = base.where(F.length("text") <= chunk).select("doc_id", F.lit(0).alias("part"), "text")
-    whole = short.mapInArrow(_encode(vocabulary), _PIECES).select(F.col("row").alias("doc_id"), "ids", "n_bytes", "round_trip")
+    whole = short.mapInArrow(tidy(_encode(vocabulary)), _PIECES).select(F.col("row").alias("doc_id"), "ids", "n_bytes", "round_trip")
     empty = base.where("text is null").selectExpr("doc_id", "cast(null as array<int>) ids", "cast(null as long) n_bytes", "cast(null as boolean) round_trip")
 
     ws = Workspace(docs.sparkSession)
     long = base.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
     with ws:
         long = ws.write(long, "long", keep=True)  # row numbers must not change if a task is run again
-    spread = long.select("row", "text").mapInArrow(_make_chunks(chunk, overlap), "row long, part int, parts int, start long, body string").repartition(F.col("row"), F.col("part"))
-    marks = spread.mapInArrow(_marks(chunk, overlap), "row long, part int, parts int, head array<long>, tail array<long>")
+    spread = long.select("row", "text").mapInArrow(tidy(_make_chunks(chunk, overlap)), "row long, part int, parts int, start long, body string").repartition(F.col("row"), F.col("part"))
+    marks = spread.mapInArrow(tidy(_marks(chunk, overlap)), "row long, part int, parts int, head array<long>, tail array<long>")
     ranges = marks.groupBy("row").applyInArrow(_stitched, "row long, part int, begin long, until long")
     joined = spread.join(ranges, ["row", "part"])
     ok = joined.where("begin is not null")
     piece = ok.select("row", "part", F.expr("case when until is null then substring(body, cast(begin - start + 1 as int)) else substring(body, cast(begin - start + 1 as int), cast(until - begin as int)) end").alias("body"))
     unstitched = ranges.where("begin is null and part = 0").select("row").join(long, "row").select("row", F.lit(0).alias("part"), F.col("text").alias("body"))
-    pieces = piece.unionByName(unstitched).mapInArrow(_encode(vocabulary), _PIECES)
+    pieces = piece.unionByName(unstitched).mapInArrow(tidy(_encode(vocabulary)), _PIECES)
     by_row = pieces.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"), F.sum("n_bytes").alias("n_bytes"), F.min("round_trip").alias("round_trip"))
     longs = long.select("row", "doc_id").join(by_row, "row").select("doc_id", "ids", "n_bytes", "round_trip")
     return whole.unionByName(longs).unionByName(empty).select("doc_id", "ids", F.expr("cast(if(ids is null, null, size(ids)) as long)").alias("n_tokens"), "n_bytes", "round_trip")
@@ -202,4 +202,4 @@ def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
             texts = [None if not x.is_valid else c.decode(x.values.to_numpy(zero_copy_only=False).astype(np.int64)).decode("utf-8", "replace") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(tidy(run), "doc_id long, text string")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from fleetweave.llm._spark import Batches
+from fleetweave.llm._spark import Batches, tidy
 
 #: (least bytes, lowest ratio, highest ratio), by rising length
 BANDS = ((0, 0.0, 9.0), (200, 0.22, 0.95), (1000, 0.16, 0.85), (4000, 0.12, 0.80), (16000, 0.08, 0.75))
@@ -61,4 +61,4 @@ def compression_bands(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, chunk_li
             cols = list(zip(*rows)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:]))], names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(run), SCHEMA)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetweave.llm._spark import Batches
+from fleetweave.llm._spark import Batches, tidy
 from fleetweave.llm._text import groups, mix, words
 
 MASKS = ("11101101", "1101001011", "10110010101", "1100110011")
@@ -152,7 +152,7 @@ def find(docs: DataFrame, benchmark: DataFrame, masks=MASKS, slice_chars: int =
 
         return run
 
-    found = [base.mapInArrow(finder(docs.sparkSession.sparkContext.broadcast(Index(s, masks))), SCHEMA) for s in _slices(benchmark, slice_chars)]
+    found = [base.mapInArrow(tidy(finder(docs.sparkSession.sparkContext.broadcast(Index(s, masks)))), SCHEMA) for s in _slices(benchmark, slice_chars)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -173,5 +173,5 @@ def without(docs: DataFrame, benchmark: DataFrame, masks=MASKS, slice_chars: int
         return run
 
     for s in _slices(benchmark, slice_chars):
-        docs = docs.mapInArrow(dropper(docs.sparkSession.sparkContext.broadcast(Index(s, masks))), docs.schema)
+        docs = docs.mapInArrow(tidy(dropper(docs.sparkSession.sparkContext.broadcast(Index(s, masks)))), docs.schema)
     return docs

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fleetweave.llm._spark import Batches
+from fleetweave.llm._spark import Batches, tidy
 
 WIDTH, SURGE, DIVE = 3, 86, 0
 
@@ -74,4 +74,4 @@ def extract(pages: DataFrame, width: int = WIDTH, surge: int = SURGE, dive: int
             cols = list(zip(*(main_text(x.as_py(), width, surge, dive) for x in b.column(1)))) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.string())))], ["page_id", "n_lines", "n_runs", "kept_lines", "text"])
 
-    return pages.selectExpr("cast(page_id as long) page_id", "html").mapInArrow(run, SCHEMA)
+    return pages.selectExpr("cast(page_id as long) page_id", "html").mapInArrow(tidy(run), SCHEMA)

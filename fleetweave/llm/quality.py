@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm._spark import Batches
+from fleetweave.llm._spark import Batches, tidy
 from fleetweave.llm._text import groups, mix, ngrams, words
 
 BITS = 20
@@ -116,9 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
         w = train_ftrl(got, bits)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary())], ["w"])
 
-    flat = rows.select("h", "doc_id", "quality", "toxic", "text").mapInArrow(hashed, "h long, doc_id long, quality double, toxic double, f array<int>")
+    flat = rows.select("h", "doc_id", "quality", "toxic", "text").mapInArrow(tidy(hashed), "h long, doc_id long, quality double, toxic double, f array<int>")
     got = flat.repartition(1).sortWithinPartitions("h", "doc_id", "quality", "toxic")
-    blob = got.mapInArrow(learn, "w binary").first()[0]
+    blob = got.mapInArrow(tidy(learn), "w binary").first()[0]
     return np.frombuffer(bytes(blob), "<f4").reshape(-1, 1 << bits)
 
 
@@ -131,7 +131,7 @@ def score(docs: DataFrame, weights: np.ndarray, least_quality: float = LEAST_QUA
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), *judge(b.column(1).to_pylist(), w, least_quality, most_toxic, bits)], ["doc_id", "quality", "toxicity", "keep"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def judge(texts: list[str | None], w: np.ndarray, least_quality: float, most_toxic: float, bits: int) -> list[pa.Array]:
@@ -153,7 +153,7 @@ def quality_filter(docs: DataFrame, weights: np.ndarray, least_quality: float =
         for b in batches:
             yield b.filter(judge(b.column(at).to_pylist(), w, least_quality, most_toxic, bits)[2])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

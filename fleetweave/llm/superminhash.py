@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetweave.llm._spark import Batches, Workspace, components, if_small, sorted_groups
+from fleetweave.llm._spark import Batches, Workspace, components, if_small, sorted_groups, tidy
 from fleetweave.llm._text import groups, mix, ngrams, shingles, words
 
 SHINGLE, REGISTERS, BANDS, LEAST_JACCARD = 3, 160, 40, 0.5
@@ -176,7 +176,7 @@ def groups_of(docs: DataFrame, shingle: int = SHINGLE, registers: int = REGISTER
     """(doc_id, group_id) of all documents in a group of two or more, the group's smallest doc_id included."""
     base = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null")
     with Workspace(docs.sparkSession) as ws:
-        signed = base.mapInArrow(_sign(shingle, registers, bands), "doc_id long, h1 long, h2 long, bands array<long>, sig binary")
+        signed = base.mapInArrow(tidy(_sign(shingle, registers, bands)), "doc_id long, h1 long, h2 long, bands array<long>, sig binary")
         signed = signed.withColumn("first", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
         only = F.col("first") == F.col("doc_id")  # one row a distinct text goes on
         signed = ws.write(signed.select("doc_id", "first", F.when(only, F.col("bands")).alias("bands"), F.when(only, F.col("sig")).alias("sig")), "signed")
@@ -187,7 +187,7 @@ def groups_of(docs: DataFrame, shingle: int = SHINGLE, registers: int = REGISTER
         # rows that repeat a doc_id each bring their signature
         sigs = signed.where("first = doc_id").select("doc_id", "sig")
         members = keyed.join(sigs, "doc_id").repartition("key").sortWithinPartitions("key", "doc_id", "sig")
-        links = members.mapInArrow(_link(most_unlike(registers, least)), "a long, b long").where("a <> b")
+        links = members.mapInArrow(tidy(_link(most_unlike(registers, least))), "a long, b long").where("a <> b")
         found = components(ws, equal.unionByName(links), "groups", keep=True)
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")).unionByName(found.select("root").distinct().select(F.col("root").alias("doc_id"), F.col("root").alias("group_id")))
 

@@ -11,7 +11,7 @@ two weight vectors (of 2 ** bits floats each, a fixed size) broadcast.
 
 Defined cases: a null text has null scores and isn't kept; an empty text is scored by the bias alone; labels of null
 are not trained on, nor are labels whose doc_id is null or unknown; several labels of a doc_id all count; without any
-labelled row, or with one class only, the models still are defined (bias towards that class); repeated documents are
+labelled row quality is 0.5, toxicity 0 and all are kept, and with one class only the model leans to that class; repeated documents are
 scored one by one; an empty table gives no rows; other columns are ignored, and doc_id may be null.
 """
 
@@ -118,8 +118,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
 
     flat = rows.select("h", "doc_id", "quality", "toxic", "text").mapInArrow(tidy(hashed), "h long, doc_id long, quality double, toxic double, f array<int>")
     got = flat.repartition(1).sortWithinPartitions("h", "doc_id", "quality", "toxic")
-    blob = got.mapInArrow(tidy(learn), "w binary").first()[0]
-    return np.frombuffer(bytes(blob), "<f4").reshape(-1, 1 << bits)
+    learned = got.mapInArrow(tidy(learn), "w binary").first()
+    if learned is None:  # no labelled row: nothing speaks against any text
+        w = np.zeros((2, 1 << bits), np.float32)
+        w[1, 0] = -35
+        return w
+    return np.frombuffer(bytes(learned[0]), "<f4").reshape(-1, 1 << bits)
 
 
 def score(docs: DataFrame, weights: np.ndarray, least_quality: float = LEAST_QUALITY, most_toxic: float = MOST_TOXIC, bits: int = BITS) -> DataFrame:

@@ -168,6 +168,21 @@ def test_passages_against_brute_force(spark):
         assert cut[i].n_chars == len(cut[i].text) if i in want else True
 
 
+@pytest.mark.parametrize("stock", [1, 25])
+def test_mosaic_passages_against_all_pairs(spark, stock):
+    """Passages whose parts stand in ``stock`` earlier documents each, which are the first holders of the parts' seeds."""
+    rng = random.Random(16)
+    parts = [sentence(rng, 30) for _ in range(8)]
+    texts = [" ".join((sentence(rng, 50), parts[i % 8], sentence(rng, 50))) for i in range(8 * stock)]
+    n = len(texts)
+    for _ in range(2):
+        texts += [" ".join((sentence(rng, 80), parts[i], parts[i + 1], sentence(rng, 80))) for i in range(0, 8, 2)]
+    got = {(r.doc_id, r.src_doc_id) for r in substring.passages(frame(spark, enumerate(texts))).collect()}
+    runs = [{" ".join(s[i : i + 40]) for i in range(len(s) - 39)} for s in map(str.split, texts)]
+    want = {(j, i) for i, j in itertools.combinations(range(len(texts)), 2) if runs[i] & runs[j]}
+    assert want == {(n + 4 + i, n + i) for i in range(4)} and got == want
+
+
 def test_chains_against_all_orders():
     rng = random.Random(7)
     for _ in range(50):

@@ -22,6 +22,11 @@ def op3_lm_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_automaton.score(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_automaton_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with trigrams; it has no SQL, as that of ``lm_automaton.sql`` is for order 2."""
+    return lm_automaton.score(table(spark, sf_dir, "documents"), order=3)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_link_trust": op1_link_trust,
     "op2_compression_bands": op2_compression_bands,
     "op3_lm_automaton": op3_lm_automaton,
+    "op3_lm_automaton_order3": op3_lm_automaton_order3,
     "op4_decontamination": op4_decontamination,
     "op5_html_blocks": op5_html_blocks,
     "op6_substring_chains": op6_substring_chains,

@@ -116,6 +116,13 @@ def test_automaton_against_recursion(spark, order):
         assert got[i] == pytest.approx(want, abs=1e-5)
 
 
+def test_order_3_is_a_query(spark):
+    got = {r.doc_id: r.log_prob for r in queries.QUERIES["op3_lm_automaton_order3"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert got == {r.doc_id: r.log_prob for r in lm_automaton.score(docs, order=3).collect()}
+    assert got != {r.doc_id: r.log_prob for r in lm_automaton.score(docs, order=2).collect()}
+
+
 def test_decontamination_finds_substituted_passages(spark):
     rng = random.Random(4)
     items = [(i, sentence(rng, 30)) for i in range(20)]

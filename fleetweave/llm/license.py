@@ -1,7 +1,8 @@
 """Sentence-rule licence recognition.
 
-Texts are split into sentences (at line ends, and at . ! ? ; : before white space), sentences are normalised (lower
-case, every run of other than letters and digits one space) and known ones become identifiers. A licence is
+Texts are split at line ends, and at . ! ? ; : before white space; the pieces are normalised (lower case, every run of
+other than letters and digits one space). A known sentence is one piece or several in a row, so it may be wrapped and
+may hold such marks itself; from left to right the longest counts. Known sentences become identifiers. A licence is
 recognised where its rule, an ordered sequence of identifiers, occurs in the sequence of a text's known sentences;
 unknown sentences between them are passed over, as headers and comment marks are.
 
@@ -12,9 +13,14 @@ contains; repeated rows of a doc_id count once each; an empty table gives no row
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetweave.llm._spark import Batches, tidy
+
 #: identifier: normalised sentence. Identifiers are two letters or more and digits, so that a sequence is a plain string.
 SENTENCES = {
     "mit01": "released under the mit license",
@@ -69,7 +75,8 @@ RULES = {
 }
 
 #: The word that a known sentence can't lack; texts without any are not split. Every sentence has one of them.
-TELLING = "licen|permission|warrant|redistribut|public domain|rights reserved|endorse"
+TELLING = "licen|permission|warrant|redistribut|public\\W+domain|rights\\W+reserved|endorse"
+_SPLIT, _OTHER = re.compile(r"[\n\r]+|[.!?;:]+(?=[ \t\n\x0b\f\r]|$)"), re.compile(r"[\W_]+")
 
 
 def rule_rows(rules=None) -> list[tuple[str, int, str]]:
@@ -77,21 +84,54 @@ def rule_rows(rules=None) -> list[tuple[str, int, str]]:
     return [(name, k, "," + ",".join(r) + ",") for name, seqs in (RULES if rules is None else rules).items() for k, r in enumerate(seqs)]
 
 
+def normal(text: str) -> str:
+    return _OTHER.sub(" ", text.lower()).strip()
+
+
+def said_in(text: str, known: dict[str, str], begins: set[str]) -> list[tuple[int, str]]:
+    """(number of its first piece, identifier) of each known sentence; ``begins`` holds their first words, of any number."""
+    pieces = [(k, s) for k, p in enumerate(_SPLIT.split(text)) if (s := normal(p))]
+    out, i = [], 0
+    while i < len(pieces):
+        s, j, end = pieces[i][1], i + 1, 0
+        while s in begins:
+            if s in known:
+                sid, end = known[s], j
+            if j == len(pieces):
+                break
+            s, j = f"{s} {pieces[j][1]}", j + 1
+        if end:
+            out.append((pieces[i][0], sid))
+        i = end or i + 1
+    return out
+
+
+def _said(known: dict[str, str]):
+    begins = {" ".join(w[:n]) for w in map(str.split, known) for n in range(1, len(w) + 1)}
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in said_in(t, known, begins)]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()))], ["doc_id", "pos", "sid"])
+
+    return run
+
+
 def recognise(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     """(doc_id, license, rule, n_found, is_longest) for each rule found in a document.
 
     Splitting and the lookup are one narrow stage; only the known sentences are exchanged, by document. Sentences and
-    rules are catalogues given as parameters, not data, so both are broadcast.
+    rules are catalogues given as parameters, not data; both go to all tasks.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame([(v, k) for k, v in (SENTENCES if sentences is None else sentences).items()], "sentence string, sid string")
+    known = {normal(v): k for k, v in (SENTENCES if sentences is None else sentences).items()}
     rows = spark.createDataFrame(rule_rows(rules), "license string, rule int, seq string")
-    said = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    said = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("text is not null")
     if sentences is None:
-        said = said.where(F.expr(f"text rlike '(?i){TELLING}'"))
-    said = said.select("doc_id", F.posexplode(F.split("text", r"[\n\r]+|[.!?;:]+(?=\s|$)")).alias("pos", "sentence"))
-    said = said.withColumn("sentence", F.expr(r"trim(regexp_replace(lower(sentence), '[^\\p{L}\\p{N}]+', ' '))"))
-    ids = said.join(F.broadcast(known), "sentence").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sid"))).alias("found"))
+        said = said.where(F.col("text").rlike(f"(?i){TELLING}"))
+    said = said.mapInArrow(tidy(_said(known)), "doc_id long, pos int, sid string")
+    ids = said.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sid"))).alias("found"))
     seq = ids.select("doc_id", F.concat(F.lit(","), F.array_join(F.transform("found", lambda x: x["sid"]), ",,"), F.lit(",")).alias("said"))
     # each identifier has its own commas, so that occurrences side by side don't share one
     rows = rows.withColumn("seq2", F.replace(F.col("seq").substr(F.lit(2), F.length("seq") - 2), F.lit(","), F.lit(",,"))).withColumn("seq2", F.concat(F.lit(","), F.col("seq2"), F.lit(",")))

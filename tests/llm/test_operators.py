@@ -273,6 +273,26 @@ def test_license_rules(spark):
     assert (3, "Proprietary", 2) in got and not any(d == 2 for d, _, _ in got)
 
 
+NOTICES = {
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy was not distributed with this file, You can obtain one.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+@pytest.mark.parametrize("width", [30, 72, 10_000])
+def test_canonical_notices_wrapped(spark, width):
+    import textwrap
+
+    rows = [(i, "\n".join(f" * {x}" for x in ["Copyright", "", *textwrap.wrap(t, width)])) for i, t in enumerate(NOTICES.values())]
+    got = {(r.doc_id, r.license) for r in license.recognise(frame(spark, rows)).collect()}
+    assert got == set(enumerate(NOTICES))
+    assert "gpl03" in license.SENTENCES and license.recognise(frame(spark, rows)).where("license = 'GPL-2.0' and is_longest").first().rule == 1
+
+
 def test_pipeline_on_planted_documents(spark):
     import corpus_pipeline
 

@@ -3,20 +3,22 @@
 Fixed masks over consecutive words name the positions that count; the words at the others may differ. Hashes of all
 masked windows of the test items are joined with those of the documents. Around each hit the item is laid over the
 document on the hit's diagonal, and the best run of words (1 for an equal word, ``-penalty`` for a substituted one)
-is verified: it must have ``least_match`` equal words, or ``least_share`` of the words of a shorter item.
+is verified: it must have ``least_match`` equal words, or ``least_share`` of the words of a shorter item. Where the run
+is cut short by substitutions, the item counts as well if ``least_share`` of all its words are equal on the diagonal.
 
 The test items' hashes are broadcast in slices of at most ``slice_chars`` characters of item text, so the size sent
 is bounded whatever the size of the benchmark; one that fits one slice, as all usual ones do, takes one narrow pass
 over the documents and no exchange.
 
-Defined cases: null and empty texts on either side match nothing; an item too short for a mask is looked up by one
-contiguous window of all its words, and one of fewer than ``least_words`` words is no evidence and left out; repeated
+Defined cases: null and empty texts on either side match nothing; an item of fewer words than
+the longest mask is also looked up by all masks of its own length that leave out as many words as may differ, and one of fewer than ``least_words`` words is no evidence and left out; repeated
 rows give rows each; several places of an item in a document give one row, that with most equal words and then the
 first; empty tables give no rows; other columns are ignored and ids may be null.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -49,6 +51,16 @@ def masked(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(total)
 
 
+def need(n: int, least_match: int = LEAST_MATCH, least_share: float = LEAST_SHARE) -> int:
+    return min(least_match, math.ceil(least_share * n))
+
+
+def short_masks(n: int) -> list[str]:
+    """All masks over n words that leave out as many as may differ, without what they leave out at the ends."""
+    gaps = itertools.combinations(range(n), n - need(n))
+    return sorted({"".join("0" if k in g else "1" for k in range(n)).strip("0") for g in gaps})
+
+
 class Index:
     """The seeds of test items, sorted by hash; a bit table answers most lookups."""
 
@@ -56,19 +68,16 @@ class Index:
         h, _, _, ptr = words([t for _, t in items])
         self.ids = [i for i, _ in items]
         self.words = [h[a:b] for a, b in zip(ptr[:-1], ptr[1:])]
-        self.masks = list(masks)
-        shortest = min(map(len, masks))
-        self.masks += sorted({"1" * n for n in map(len, self.words) if least_words <= n < shortest})
-        hashes, item, at, which = [], [], [], []
+        sizes = {n for n in map(len, self.words) if least_words <= n < max(map(len, masks))}
+        own = {n: short_masks(n) for n in sorted(sizes)}
+        self.masks = list(dict.fromkeys([*masks, *(m for some in own.values() for m in some)]))
+        hashes, item, at = [], [], []
         for k, w in enumerate(self.words):
-            for m, mask in enumerate(self.masks):
-                if len(w) < least_words or len(w) >= shortest and m >= len(masks) or m >= len(masks) and len(mask) != len(w):
-                    continue
+            for mask in [*masks, *own.get(len(w), ())] if len(w) >= least_words else ():
                 s = masked(w, mask)
                 hashes.append(s)
                 item.append(np.full(len(s), k))
                 at.append(np.arange(len(s)))
-                which.append(np.full(len(s), m))
         cat = lambda x, d: np.concatenate(x).astype(d) if x else np.zeros(0, d)
         hs = cat(hashes, np.uint64)
         order = np.argsort(hs, kind="stable")
@@ -104,10 +113,6 @@ def best_run(a: np.ndarray, b: np.ndarray, penalty: int = PENALTY) -> tuple[int,
     return start, end, int(eq[start:end].sum())
 
 
-def need(n: int, least_match: int = LEAST_MATCH, least_share: float = LEAST_SHARE) -> int:
-    return min(least_match, math.ceil(least_share * n))
-
-
 def scan(texts: list[str | None], index: Index, least_match: int = LEAST_MATCH, least_share: float = LEAST_SHARE, penalty: int = PENALTY) -> list[tuple[int, int, int, int, int, int]]:
     """(text number, item number, first character, end character, equal words, words) for each item that a text overlaps."""
     out = []
@@ -122,6 +127,10 @@ def scan(texts: list[str | None], index: Index, least_match: int = LEAST_MATCH,
             if b - a < least:
                 continue
             s, e, n = best_run(w[a:b], h[a + shift : b + shift], penalty)
+            if n < least:
+                same = np.flatnonzero(w[a:b] == h[a + shift : b + shift])
+                if len(same) >= max(least, least_share * len(w)):
+                    s, e, n = int(same[0]), int(same[-1]) + 1, len(same)
             if n >= least:
                 found = (-n, s + a + shift, e + a + shift)
                 best[doc, k] = min(best.get((doc, k), found), found)

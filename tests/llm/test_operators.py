@@ -142,6 +142,21 @@ def test_decontamination_finds_substituted_passages(spark):
     assert {r.doc_id for r in decontam.without(docs, bench).collect()} == set(range(60)) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("n", [5, 8, 10, 14, 16, 18, 20, 25])
+def test_decontamination_at_the_stated_tolerance(n):
+    """Whole items with as many words substituted as ``need`` and ``LEAST_SHARE`` allow."""
+    rng = random.Random(n)
+    items = [(i, sentence(rng, n, 10**6)) for i in range(60)]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for k in rng.sample(range(n), n - max(decontam.need(n), math.ceil(decontam.LEAST_SHARE * n))):
+            w[k] = "other"
+        texts.append(" ".join((sentence(rng, 30, 10**6), *w, sentence(rng, 30, 10**6))))
+    got = {r[:2] for r in decontam.scan(texts, decontam.Index(items))}
+    assert got <= {(i, i) for i in range(60)} and len(got) >= 59
+
+
 def test_html_blocks():
     body = "".join(f"<p>{'Some words of the main text are here. ' * 5}</p>" for _ in range(5))
     page = f"<html><head><title>no</title></head><body><ul>{'<li><a href=/>x</a></li>' * 20}</ul>{'<br>' * 6}{body}{'<br>' * 6}<div>foot</div></body></html>"

@@ -170,6 +170,11 @@ _add(
     lambda s, d: serve.jaccard_pairs(_read(s, d, "supplier").join(_read(s, d, "lineitem"), F.expr("l_suppkey = s_suppkey")).select("s_nationkey", F.expr("l_partkey % 50").alias("bucket")), "s_nationkey", "bucket", 0.1),
     "WITH x AS (SELECT DISTINCT s_nationkey AS k, l_partkey % 50 AS i FROM supplier JOIN lineitem ON l_suppkey = s_suppkey), n AS (SELECT k, count(*) AS n FROM x GROUP BY 1), p AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM x JOIN x y ON x.i = y.i AND x.k < y.k GROUP BY 1, 2) SELECT a, b, round(c / (m.n + q.n - c), 6) AS jaccard FROM p JOIN n m ON m.k = a JOIN n q ON q.k = b WHERE round(c / (m.n + q.n - c), 6) >= 0.1",
 )
+_add(
+    "jaccard_part_pairs",
+    lambda s, d: serve.jaccard_pairs(_read(s, d, "supplier").join(_read(s, d, "lineitem"), F.expr("l_suppkey = s_suppkey")).select("s_nationkey", "l_partkey"), "s_nationkey", "l_partkey", 0.1),
+    "WITH x AS (SELECT DISTINCT s_nationkey AS k, l_partkey AS i FROM supplier JOIN lineitem ON l_suppkey = s_suppkey), n AS (SELECT k, count(*) AS n FROM x GROUP BY 1), p AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM x JOIN x y ON x.i = y.i AND x.k < y.k GROUP BY 1, 2) SELECT a, b, round(c / (m.n + q.n - c), 6) AS jaccard FROM p JOIN n m ON m.k = a JOIN n q ON q.k = b WHERE round(c / (m.n + q.n - c), 6) >= 0.1",
+)
 
 # ranges, retrieval, rankings
 _RANGES = "p AS (SELECT DISTINCT regexp_extract(c_name, '^(.*?)(\\d+)$', 1) AS prefix, regexp_extract(c_name, '^(.*?)(\\d+)$', 2) AS d FROM customer WHERE c_acctbal >= 0), q AS (SELECT prefix, length(d) AS width, CAST(d AS BIGINT) AS v FROM p WHERE d <> ''), i AS (SELECT *, v - row_number() OVER (PARTITION BY prefix, width ORDER BY v) AS g FROM q)"

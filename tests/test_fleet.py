@@ -34,6 +34,11 @@ def test_against_duckdb(spark, duck, name):
     assert _rows(df.columns, df.collect()) == _rows(columns, want.fetchall())
 
 
+def test_jaccard_of_whole_parts(spark):
+    got = catalogue.QUERIES["jaccard_part_pairs"](spark, "/root/testdata/sf0.01").collect()
+    assert len({r.jaccard for r in got}) > 1 and all(r.jaccard < 1 for r in got)
+
+
 def test_globs():
     import re
 

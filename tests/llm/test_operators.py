@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from fleetweave.llm import bpe, compress_bands, decontam, html_blocks, license, link_trust, lm_automaton, quality, queries, substring, superminhash
 from fleetweave.llm._spark import Workspace, components
@@ -205,6 +206,88 @@ def test_mosaic_passages_against_all_pairs(spark, stock):
     assert want == {(n + 4 + i, n + i) for i in range(4)} and got == want
 
 
+def fuzzy(rng, n, every=None, share=None):
+    """A passage and a copy with every so many words, or that share of them, substituted."""
+    w = sentence(rng, n, 10**6).split()
+    at = range(every - 1, n, every) if every else rng.sample(range(n), int(n * share))
+    c = list(w)
+    for i in at:
+        c[i] = f"s{rng.randrange(10**6)}"
+    return w, c
+
+
+def brute_passages(texts, least=substring.LEAST_WORDS, share=substring.LEAST_SHARE):
+    """(later, earlier) document of each pair with a stretch of ``least`` words or more, ``share`` of them equal on one diagonal."""
+    out = set()
+    split = [np.array(t.split()) for t in texts]
+    for j, i in ((j, i) for j in range(len(split)) for i in range(j)):
+        a, b = split[i], split[j]
+        for d in range(-len(a) + least, len(b) - least + 1):
+            x, y = a[max(0, -d) :], b[max(0, d) :]
+            n = min(len(x), len(y))
+            eq = np.concatenate(([0], np.cumsum(x[:n] == y[:n])))
+            if n >= least and (eq[least:] - eq[:-least]).max() >= share * least:
+                out.add((j, i))
+                break
+    return out
+
+
+def test_fuzzy_passages_against_all_diagonals(spark):
+    rng = random.Random(17)
+    texts = []
+    for k in range(40):
+        w, c = fuzzy(rng, (40, 60, 80, 120)[k % 4], share=(0.05, 0.1, 0.15, 0.2)[k // 4 % 4])
+        for x in (w, c):
+            texts.append(" ".join((sentence(rng, 40, 10**6), *x, sentence(rng, 40, 10**6))))
+    want = brute_passages(texts)
+    got = {(r.doc_id, r.src_doc_id) for r in substring.passages(frame(spark, enumerate(texts))).collect()}
+    assert got <= want and len(want) >= 40 and len(got) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("every", [6, 7, 9])
+def test_long_fuzzy_copies_are_found_whole(spark, every):
+    rng = random.Random(every)
+    texts = []
+    for _ in range(6):
+        w, c = fuzzy(rng, 300, every=every)
+        texts += [" ".join((sentence(rng, 50, 10**6), *x, sentence(rng, 50, 10**6))) for x in (w, c)]
+    for flank in (substring.FLANK, 16):
+        got = {r.doc_id: r for r in substring.passages(frame(spark, enumerate(texts)), flank=flank).collect()}
+        assert sorted(got) == list(range(1, 12, 2))
+        assert all(r.src_doc_id == r.doc_id - 1 and r.start_word <= 50 + every and r.end_word >= 350 - every for r in got.values())
+
+
+def test_common_seeds_thinned_in_a_task(spark):
+    """Many copies in small chunks: each is found, whatever was thinned out where."""
+    rng = random.Random(18)
+    shared = sentence(rng, 60)
+    texts = [f"{sentence(rng, 30)} {shared} {sentence(rng, 30)}" for _ in range(120)]
+    docs = frame(spark, enumerate(texts)).repartition(3)
+    for chunk in (100, 3000, 1 << 20):
+        got = substring.passages(docs, holders=4, chunk=chunk).collect()
+        assert {r.doc_id for r in got} == set(range(1, 120)) and all(r.src_doc_id < r.doc_id for r in got)
+        assert all(r.end_word - r.start_word >= 60 for r in got) and len(got) <= 120 * 6
+
+
+def test_pieces_held_by_earlier_documents_do_not_hide_a_passage(spark):
+    rng = random.Random(19)
+    passage = sentence(rng, 120, 10**6).split()
+    texts = [" ".join((sentence(rng, 40, 10**6), *passage[i : i + 24], sentence(rng, 40, 10**6))) for i in range(0, 120, 24)]
+    texts += [" ".join((sentence(rng, 40, 10**6), *passage, sentence(rng, 40, 10**6))) for _ in range(2)]
+    got = {(r.doc_id, r.src_doc_id, r.end_word - r.start_word >= 120) for r in substring.passages(frame(spark, enumerate(texts))).collect()}
+    assert got == {(6, 5, True)} == {(*p, True) for p in brute_passages(texts)}
+
+
+def test_versions_of_a_document(spark):
+    rng = random.Random(20)
+    a, b, shared = sentence(rng, 80), sentence(rng, 80), sentence(rng, 70)
+    rows = [(1, f"{a} {shared}"), (2, f"{b} {shared}"), (2, b), (2, f"{b} {shared}"), (None, shared), (3, None), (4, "")]
+    docs = frame(spark, rows).withColumn("cuts", F.lit(7)).withColumn("of", F.lit("x")).withColumn("version", F.lit(1)).withColumn("row", F.lit(2))
+    out = substring.without_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "-") for r in out.collect()) == sorted([(1, rows[0][1]), (2, b), (2, b), (2, b), (0, shared), (3, "-"), (4, "-")])
+
+
 def test_chains_against_all_orders():
     rng = random.Random(7)
     for _ in range(50):

@@ -1,11 +1,13 @@
 """Compression bands: zstandard ratios of whole documents and of fixed chunks, held against limits for their length.
 
 A ratio is compressed bytes by raw bytes. Text below a band's lower limit is repetitive, text above the upper limit
-is incompressible. Short texts compress badly whatever they hold, so each length has its own limits.
+is incompressible. Short texts compress badly whatever they hold, so each length has its own limits. All bytes belong
+to a chunk; the last one may be shorter than ``chunk`` and is then held against the limits of its length.
 
-Defined cases: a null text has null figures and reason ``no text`` and isn't kept; an empty text, or one shorter than
-the first band, is kept, for its ratio says nothing; repeated rows are judged one by one; an empty table gives no
-rows; columns other than doc_id and text are ignored; doc_id may be null and is passed on.
+Defined cases: a null text has null figures and reason ``no text`` and isn't kept; an empty text has no chunks and is
+kept; a ratio that equals a limit is within it; of a whole text and its chunks the former gives the reason; repeated
+rows are judged one by one; a very long text is compressed chunk by chunk and once as a whole; an empty table gives no
+rows; columns other than doc_id and text, whatever their names, are ignored; doc_id may be null and is passed on.
 """
 
 from __future__ import annotations
@@ -28,24 +30,26 @@ LEVEL = 3
 SCHEMA = "doc_id long, n_bytes long, ratio double, n_chunks int, chunk_min double, chunk_max double, bad_chunks int, reason string, keep boolean"
 
 
+def limits_for(n: int, bands=BANDS) -> tuple[float, float]:
+    return bands[bisect_right([b[0] for b in bands], n) - 1][1:]
+
+
 def judge(text: str | None, press: zstandard.ZstdCompressor, bands=BANDS, chunk=CHUNK, chunk_limits=CHUNK_LIMITS, chunk_share=CHUNK_SHARE) -> tuple:
-    """The figures of one text. Chunks are cut every ``chunk`` bytes; a last one of under half of that is left out unless it is the only one."""
+    """The figures of one text, cut into chunks every ``chunk`` bytes."""
     if text is None:
         return None, None, None, None, None, None, "no text", False
     raw = text.encode("utf-8", "surrogatepass")
     if not raw:
         return 0, None, 0, None, None, 0, None, True
     ratio = len(press.compress(raw)) / len(raw)
-    if len(raw) <= chunk:
-        ratios = [ratio]
-    else:
-        parts = [raw[i : i + chunk] for i in range(0, len(raw), chunk)]
-        if 2 * len(parts[-1]) < chunk:
-            parts.pop()
-        ratios = [len(press.compress(p)) / len(p) for p in parts]
-    _, low, high = bands[bisect_right([b[0] for b in bands], len(raw)) - 1]
-    bad = sum(not chunk_limits[0] <= r <= chunk_limits[1] for r in ratios) if len(raw) > chunk else 0
-    reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "chunks" if bad >= chunk_share * len(ratios) and bad else None
+    parts = [raw[i : i + chunk] for i in range(0, len(raw), chunk)] if len(raw) > chunk else []
+    ratios = [len(press.compress(p)) / len(p) for p in parts] or [ratio]
+    bad = 0
+    for r, p in zip(ratios, parts or [raw]):
+        low, high = chunk_limits if len(p) == chunk else limits_for(len(p), bands)
+        bad += not low <= r <= high
+    low, high = limits_for(len(raw), bands)
+    reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "chunks" if bad and bad >= chunk_share * len(ratios) else None
     return len(raw), ratio, len(ratios), min(ratios), max(ratios), bad, reason, reason is None
 
 

@@ -1,13 +1,17 @@
 """Line-block distribution: the main text of a page lies between a surge and a dive of its line-block lengths.
 
 Markup is stripped: comments, scripts, styles and the head go whole, block tags become line ends, other tags vanish
-and character references are resolved. A block is ``width`` consecutive lines from a line on; its length is that of
+and character references are resolved. Line breaks of the source count within ``pre`` and in pages without any tag;
+elsewhere they are white space. A block is ``width`` consecutive lines from a line on; its length is that of
 their text without white space. Text begins at a surge (a block longer than ``surge`` with text in the next block)
 and ends at a dive (a block of at most ``dive`` characters); what lies between is kept, and all kept runs are joined.
 
 Defined cases: a null html gives null text and no lines; an empty page, or one with no surge, gives an empty text;
-tags and comments that never close are taken to end at the next ``<`` or the end of the page; repeated rows are
-handled one by one; an empty table gives no rows; other columns are ignored and page_id may be null.
+tags and comments that never close are taken to end at the next ``<`` or the end of the page; a script or style that
+never closes runs to the end of the page, a head to ``<body`` or, without one, to the end of its tag, and other elements that go whole count as tags if
+they never close; a very long page takes time in proportion to its length, whatever it holds; of equally good places
+the first surge and the first dive count; repeated rows are handled one by one; an empty table gives no rows; other
+columns, whatever their names, are ignored and page_id may be null.
 """
 
 from __future__ import annotations
@@ -23,7 +27,11 @@ from fleetweave.llm._spark import Batches, tidy
 
 WIDTH, SURGE, DIVE = 3, 86, 0
 
-_WHOLE = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head|svg|iframe)\b[^>]*>.*?</\1\s*>|<!\w[^>]*>", re.I | re.S)
+_OPEN = re.compile(r"<!--|<(script|style|noscript|template|head|svg|iframe)\b[^<>]*>?|<!\w[^<>]*>?", re.I)
+_CLOSE = {n: re.compile(p, re.I) for n, p in {
+    "<!--": "-->", "head": r"</head\s*>?|(?=<body\b)", **{n: rf"</{n}\s*>?" for n in ("script", "style", "noscript", "template", "svg", "iframe")},
+}.items()}
+_PRE, _PRE_END = re.compile(r"<pre\b[^<>]*>?", re.I), re.compile(r"</pre\b", re.I)
 _BLOCK = re.compile(
     r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tfoot|tr|td|th|section|article|aside|nav|header|footer|main|body|html|blockquote|pre|form|fieldset|figure|figcaption|address|title|option|select)\b[^<>]*>?", re.I
 )
@@ -33,9 +41,48 @@ _SPACE = re.compile(r"\s+")
 SCHEMA = "page_id long, n_lines int, n_runs int, kept_lines int, text string"
 
 
+def without_whole(page: str) -> str:
+    """The page without comments, declarations and the elements that go whole.
+
+    One forward pass: what a closer was found for is left behind, and a closer that isn't found isn't looked for again.
+    """
+    out, at, gone = [], 0, set()
+    while m := _OPEN.search(page, at):
+        out.append(page[at : m.start()])
+        kind, at = (m[1] or m[0][:4]).lower(), m.end()
+        if kind not in _CLOSE:
+            out.append(" ")
+            continue
+        end = None if kind in gone else _CLOSE[kind].search(page, at)
+        if end is None:
+            gone.add(kind)
+        if end:
+            out.append(" ")
+            at = end.end()
+        elif kind == "<!--":
+            out.append(" ")
+            at = nxt if (nxt := page.find("<", at)) >= 0 else len(page)
+        elif kind in ("script", "style"):
+            at = len(page)
+    return "".join([*out, page[at:]])
+
+
+def pre_breaks(page: str) -> str:
+    """The page with the line breaks within pre as tags; a pre that never closes runs to the end."""
+    out, at = [], 0
+    while m := _PRE.search(page, at):
+        end = _PRE_END.search(page, m.end())
+        stop = end.start() if end else len(page)
+        out += [page[at : m.end()], page[m.end() : stop].replace("\n", "<br>")]
+        at = stop
+    return "".join([*out, page[at:]])
+
+
 def lines(page: str) -> list[str]:
     """The lines of a page without markup, blank ones included, white space folded."""
-    page = _SPACE.sub(" ", _WHOLE.sub(" ", page))
+    if not _TAG.search(page) and "<!" not in page:
+        return [_SPACE.sub(" ", x).strip() for x in entities.unescape(page).split("\n")]
+    page = _SPACE.sub(" ", pre_breaks(without_whole(page.replace("\r\n", "\n"))))
     page = _TAG.sub("", _BLOCK.sub("\n", page))
     return [_SPACE.sub(" ", x).strip() for x in entities.unescape(page).split("\n")]
 

@@ -8,7 +8,10 @@ unknown sentences between them are passed over, as headers and comment marks are
 
 Defined cases: null and empty texts give no rows; a licence found twice in a text is one row with its count; rules of
 which one contains another all count, and ``is_longest`` marks those whose sequence no other found rule of the text
-contains; repeated rows of a doc_id count once each; an empty table gives no rows; a null doc_id is one group.
+contains; rows that repeat a doc_id are scanned each by itself and give rows each, as do those with a null doc_id;
+a sentence counts once, in the longest known one that begins there, so of two with the same beginning the longer wins;
+a very long text is one pass over its pieces; an empty table gives no rows; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fleetweave.llm._spark import Batches, tidy
 
@@ -74,8 +76,6 @@ RULES = {
     "Proprietary": (("arr01",),),
 }
 
-#: The word that a known sentence can't lack; texts without any are not split. Every sentence has one of them.
-TELLING = "licen|permission|warrant|redistribut|public\\W+domain|rights\\W+reserved|endorse"
 _SPLIT, _OTHER = re.compile(r"[\n\r]+|[.!?;:]+(?=[ \t\n\x0b\f\r]|$)"), re.compile(r"[\W_]+")
 
 
@@ -106,37 +106,39 @@ def said_in(text: str, known: dict[str, str], begins: set[str]) -> list[tuple[in
     return out
 
 
-def _said(known: dict[str, str]):
-    begins = {" ".join(w[:n]) for w in map(str.split, known) for n in range(1, len(w) + 1)}
+def beginnings(known: dict[str, str]) -> set[str]:
+    """The known sentences' first words, of any number."""
+    return {" ".join(w[:n]) for w in map(str.split, known) for n in range(1, len(w) + 1)}
+
+
+def rules_in(said: list[str], rules: list[tuple[str, int, str]]) -> list[tuple[str, int, int, bool]]:
+    """(licence, rule, number of places, whether no other rule found contains it) of a text's sentence identifiers."""
+    # each identifier has its own commas, so that occurrences side by side don't share one
+    twin = lambda ids: "".join(f",{x}," for x in ids)
+    whole = twin(said)
+    hits = [(name, k, n, own) for name, k, seq in rules if (n := whole.count(own := twin(seq.strip(",").split(","))))]
+    return [(name, k, n, not any(own in o and own != o for *_, o in hits)) for name, k, n, own in hits]
 
-    def run(batches: Batches) -> Batches:
-        for b in batches:
-            rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in said_in(t, known, begins)]
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()))], ["doc_id", "pos", "sid"])
 
-    return run
+SCHEMA = "doc_id long, license string, rule int, n_found long, is_longest boolean"
 
 
 def recognise(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
-    """(doc_id, license, rule, n_found, is_longest) for each rule found in a document.
+    """(doc_id, license, rule, n_found, is_longest) for each rule found in a row's text: one narrow pass, no exchange.
 
-    Splitting and the lookup are one narrow stage; only the known sentences are exchanged, by document. Sentences and
-    rules are catalogues given as parameters, not data; both go to all tasks.
+    Sentences and rules are catalogues given as parameters, not data; both go to all tasks.
     """
-    spark = docs.sparkSession
     known = {normal(v): k for k, v in (SENTENCES if sentences is None else sentences).items()}
-    rows = spark.createDataFrame(rule_rows(rules), "license string, rule int, seq string")
-    said = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("text is not null")
-    if sentences is None:
-        said = said.where(F.col("text").rlike(f"(?i){TELLING}"))
-    said = said.mapInArrow(tidy(_said(known)), "doc_id long, pos int, sid string")
-    ids = said.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sid"))).alias("found"))
-    seq = ids.select("doc_id", F.concat(F.lit(","), F.array_join(F.transform("found", lambda x: x["sid"]), ",,"), F.lit(",")).alias("said"))
-    # each identifier has its own commas, so that occurrences side by side don't share one
-    rows = rows.withColumn("seq2", F.replace(F.col("seq").substr(F.lit(2), F.length("seq") - 2), F.lit(","), F.lit(",,"))).withColumn("seq2", F.concat(F.lit(","), F.col("seq2"), F.lit(",")))
-    hits = seq.join(F.broadcast(rows), F.expr("contains(said, seq2)"))
-    hits = hits.withColumn("n_found", F.expr("cast((length(said) - length(replace(said, seq2, ''))) / length(seq2) as long)"))
-    all_seqs = hits.groupBy("doc_id").agg(F.collect_list(F.struct("license", "rule", "seq2", "n_found")).alias("h"))
-    flat = all_seqs.select("doc_id", F.explode("h").alias("x"), "h")
-    return flat.select("doc_id", F.col("x.license").alias("license"), F.col("x.rule").alias("rule"), F.col("x.n_found").alias("n_found"), (~F.exists("h", lambda y: F.contains(y["seq2"], F.col("x.seq2")) & (y["seq2"] != F.col("x.seq2")))).alias("is_longest"))
+    begins, rows = beginnings(known), rule_rows(rules)
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            out = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t and (said := [sid for _, sid in said_in(t, known, begins)]):
+                    out += [(d, *x) for x in rules_in(said, rows)]
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "license", "rule", "n_found", "is_longest"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(run), SCHEMA)

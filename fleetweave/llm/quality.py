@@ -11,8 +11,10 @@ two weight vectors (of 2 ** bits floats each, a fixed size) broadcast.
 
 Defined cases: a null text has null scores and isn't kept; an empty text is scored by the bias alone; labels of null
 are not trained on, nor are labels whose doc_id is null or unknown; several labels of a doc_id all count; without any
-labelled row quality is 0.5, toxicity 0 and all are kept, and with one class only the model leans to that class; repeated documents are
-scored one by one; an empty table gives no rows; other columns are ignored, and doc_id may be null.
+labelled row quality is 0.5, toxicity 0 and all are kept, and with one class only the model leans to that class; ties
+of the sample's hash go by doc_id and labels; repeated documents are scored one by one; a very long text is scored as a
+whole; an empty table gives no rows; other columns, whatever their names, are ignored by ``classify`` and kept by
+``quality_filter``, and doc_id may be null.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetweave.llm._spark import Batches, tidy
-from fleetweave.llm._text import groups, mix, ngrams, words
+from fleetweave.llm._text import groups, ngrams, words
 
 BITS = 20
 TRAIN_ROWS = 20_000
@@ -39,12 +42,14 @@ SCHEMA = "doc_id long, quality double, toxicity double, keep boolean"
 
 
 def _mark(x: str) -> int:
-    """The hash of a run of symbols; only its first eight count, so that the kept hashes stay few."""
-    if x not in _marks:
-        if len(_marks) > 100_000:
-            _marks.clear()
-        _marks[x] = int(mix(np.array([sum((ord(c) + 1) * 1_000_003**i for i, c in enumerate(x)) & (2**64 - 1)], np.uint64))[0])
-    return _marks[x]
+    """The hash of a run of symbols; those of short runs are kept."""
+    if (got := _marks.get(x)) is None:
+        got = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), 41)
+        if len(x) <= 16:
+            if len(_marks) > 100_000:
+                _marks.clear()
+            _marks[x] = got
+    return got
 
 
 def features(texts: list[str], bits: int = BITS) -> list[np.ndarray]:
@@ -62,7 +67,7 @@ def features(texts: list[str], bits: int = BITS) -> list[np.ndarray]:
         one, two = (h >> shift).astype(np.int32), (pair >> shift).astype(np.int32)
         for k, t in enumerate(some):
             i, j = ptr[k], ptr[k + 1]
-            m = [_mark(x) >> (64 - bits) for x in {x[:8] for x in set(_SYMBOLS.findall(t))}]
+            m = [_mark(x) >> (64 - bits) for x in set(_SYMBOLS.findall(t))]
             if j - i > 2 and np.searchsorted(triple, i) < np.searchsorted(triple, j - 2):
                 m.append(1)
             f = np.concatenate((one[i:j], two[i : max(i, j - 1)], np.array(m, np.int32)))

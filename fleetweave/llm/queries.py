@@ -56,17 +56,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
+    """Pieces by row; a known sentence is looked up as the run of one to ``most`` pieces from each piece on, the longest
+    first. That a run may not begin within an earlier one is left out, for no known sentence holds the end of another
+    before a mark."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(v)}, {quote(k)})" for k, v in license.SENTENCES.items())
+    most = 6
+    known = ", ".join(f"({quote(license.normal(v))}, {quote(k)})" for k, v in license.SENTENCES.items())
     rules = ", ".join(f"({quote(n)}, {k}, {quote(',' + s.strip(',').replace(',', ',,') + ',')})" for n, k, s in license.rule_rows())
+    spans = " UNION ALL ".join(f"SELECT r, pos, {n} AS n, array_to_string(list_slice(said, pos, pos + {n - 1}), ' ') AS sentence FROM places WHERE pos + {n - 1} <= len(said)" for n in range(1, most + 1))
     return rf"""
 WITH known(sentence, sid) AS (VALUES {known}), rules(license, rule, seq) AS (VALUES {rules}),
-parts AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '[.!?;:]+(\s|$)', chr(10), 'g'), '[\n\r]+') AS p FROM documents WHERE text IS NOT NULL),
-said AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM parts),
-ids AS (SELECT doc_id, pos, sid FROM (SELECT doc_id, pos, trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS sentence FROM said) JOIN known USING (sentence)),
-seqs AS (SELECT doc_id, ',' || string_agg(sid, ',,' ORDER BY pos) || ',' AS said FROM ids GROUP BY doc_id),
-hits AS (SELECT doc_id, license, rule, seq, CAST((length(said) - length(replace(said, seq, ''))) / length(seq) AS BIGINT) AS n_found FROM seqs JOIN rules ON contains(said, seq))
-SELECT doc_id, license, rule, n_found, NOT EXISTS (SELECT 1 FROM hits o WHERE o.doc_id = h.doc_id AND o.seq <> h.seq AND contains(o.seq, h.seq)) AS is_longest FROM hits h
+rows_ AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
+parts AS MATERIALIZED (SELECT r, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?;:]+(\s|$)', chr(10), 'g'), '[
+]+'), x -> trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), x -> x <> '') AS said FROM rows_),
+places AS (SELECT r, said, unnest(generate_series(1, len(said))) AS pos FROM parts),
+spans AS ({spans}),
+found AS (SELECT r, pos, arg_max(sid, n) AS sid FROM spans JOIN known USING (sentence) GROUP BY 1, 2),
+seqs AS (SELECT r, ',' || string_agg(sid, ',,' ORDER BY pos) || ',' AS said FROM found GROUP BY r),
+hits AS (SELECT r, license, rule, seq, CAST((length(said) - length(replace(said, seq, ''))) / length(seq) AS BIGINT) AS n_found FROM seqs JOIN rules ON contains(said, seq))
+SELECT doc_id, license, rule, n_found, NOT EXISTS (SELECT 1 FROM hits o WHERE o.r = h.r AND o.seq <> h.seq AND contains(o.seq, h.seq)) AS is_longest FROM hits h JOIN rows_ USING (r)
 """
 
 

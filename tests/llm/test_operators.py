@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -64,19 +65,35 @@ def test_awkward_rows(spark, tables, kind):
     assert link_trust.url_filter(pages).where("keep").count() == n
 
 
-def test_link_trust_by_hand(spark):
-    rows = [(1, "http://good.edu/a", '<a href="http://mid.org/x">'), (2, "http://mid.org", '<a href="//good.edu">'), (3, "http://links.org", "<a href='http://casino.org/'>"), (4, "http://casino.org", ""), (5, "http://alone.org", None), (6, None, None), (7, "no url", "")]
-    got = {r.page_id: r for r in link_trust.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    hosts = ["good.edu", "mid.org", "links.org", "casino.org"]
+LINKS = [(1, "http://good.edu/a", '<a href="http://mid.org/x">'), (2, "http://mid.org", '<a href="//good.edu">'), (3, "http://links.org", "<a href='http://casino.org/'>"), (4, "http://casino.org", ""), (5, "http://alone.org", None), (6, None, None), (7, "no url", "")]
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_link_trust_by_hand(spark, copies):
+    """Scores and decisions don't change if the graph stands beside copies of itself."""
+    rows = [(i + 10 * c, u and u.replace(".", f"{c}.", 1), h and re.sub(r"//(\w+)", rf"//\g<1>{c}", h)) for c in range(copies) for i, u, h in LINKS]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("keep", F.lit(1)).withColumn("host", F.lit("h")).withColumn("trust", F.lit(2))
+    got = {r.page_id: r for r in link_trust.url_filter(pages).collect()}
     m = np.zeros((4, 4))
     m[1, 0] = m[0, 1] = m[3, 2] = 1  # to, from
     for name, matrix, seed in (("trust", m, 0), ("distrust", m.T, 3)):
-        v = np.eye(4)[seed]
-        x = v
-        for _ in range(link_trust.ROUNDS):
-            x = 0.85 * matrix @ x + 0.15 * v
-        assert [round(y, 9) for y in x / x.sum()] == pytest.approx([got[k][name] for k in range(1, 5)], abs=2e-9), (name, hosts)
-    assert [got[k].keep for k in range(1, 8)] == [True, True, False, False, True, True, True]
+        x = 0.15 * np.linalg.inv(np.eye(4) - 0.85 * matrix)[:, seed]  # the limit of the power iteration
+        for c in range(copies):
+            assert x.tolist() == pytest.approx([got[k + 10 * c][name] for k in range(1, 5)], abs=link_trust.TOLERANCE)
+    for c in range(copies):
+        assert [got[k + 10 * c].keep for k in range(1, 8)] == [True, True, False, False, True, True, True]
+
+
+def test_link_trust_seeds(spark):
+    many = [(k, f"http://site{k}.com", '<a href="http://star.io/">' * 2) for k in range(link_trust.ENDORSED)]
+    pages = spark.createDataFrame([*many, (90, "http://star.io", '<a href="http://next.io">')], "page_id long, url string, html string")
+    quick = {"tolerance": 0.5}
+    got = {r.page_id: r for r in link_trust.url_filter(pages, **quick).collect()}
+    assert got[90].trust > 0.1 and got[0].trust == 0
+    assert {r.page_id: r.trust for r in link_trust.url_filter(pages.where("page_id > 0"), **quick).collect()}[90] == 0
+    seeds = spark.createDataFrame([("SITE1.com",), (None,)], "host string")
+    got = {r.page_id: r for r in link_trust.url_filter(pages, trusted=seeds, blocked=spark.createDataFrame([("next.io",)], "host string"), **quick).collect()}
+    assert got[1].trust > 0.1 and got[90].distrust > 0.1 and not got[2].keep and got[1].keep
 
 
 def test_compression_bands():
@@ -88,6 +105,38 @@ def test_compression_bands():
     assert compress_bands.judge(sentence(rng, 400) + "ab" * 9000 + sentence(rng, 400), press)[6] in ("repetitive", "chunks")
 
 
+def test_compression_bands_against_brute_force(spark):
+    rng = random.Random(23)
+    texts = [None, "", "a", "a" * 199, "a" * 200, "é" * 5000]
+    for _ in range(60):
+        noise = lambda n: "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+        texts.append("".join(rng.choice((sentence(rng, rng.randrange(1, 900)), "ab " * rng.randrange(1, 3000), noise(rng.randrange(1, 6000)))) for _ in range(rng.randrange(1, 4))))
+    press = zstandard.ZstdCompressor(level=3)
+    for i, r in {r.doc_id: r for r in compress_bands.compression_bands(frame(spark, enumerate(texts))).collect()}.items():
+        if not texts[i]:
+            assert (r.n_bytes, r.ratio, r.keep, r.reason) == ((None, None, False, "no text") if texts[i] is None else (0, None, True, None))
+            continue
+        raw = texts[i].encode()
+        ratio = lambda x: len(press.compress(x)) / len(x)
+        band = lambda n: max(b for b in compress_bands.BANDS if b[0] <= n)[1:]
+        chunks = [raw] if len(raw) <= 4096 else [raw[k * 4096 : k * 4096 + 4096] for k in range(math.ceil(len(raw) / 4096))]
+        assert sum(map(len, chunks)) == len(raw)
+        bad = 0
+        for c in chunks:
+            low, high = compress_bands.CHUNK_LIMITS if len(c) == 4096 else band(len(c))
+            bad += not low <= ratio(c) <= high
+        low, high = band(len(raw))
+        why = "repetitive" if ratio(raw) < low else "incompressible" if ratio(raw) > high else "chunks" if bad and bad >= 0.34 * len(chunks) else None
+        assert (r.n_bytes, r.ratio, r.n_chunks, r.bad_chunks, r.reason, r.keep) == (len(raw), ratio(raw), len(chunks), bad, why, why is None)
+        assert (r.chunk_min, r.chunk_max) == (min(map(ratio, chunks)), max(map(ratio, chunks)))
+
+
+def test_the_tail_of_a_text_counts():
+    rng = random.Random(24)
+    text = sentence(rng, 700)[:4096] + "spam " * 400
+    assert compress_bands.judge(text, zstandard.ZstdCompressor(level=3))[5:] == (1, "chunks", False)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_automaton_against_recursion(spark, order):
     rng = random.Random(order)
@@ -166,6 +215,40 @@ def test_html_blocks():
     assert html_blocks.main_text("")[3] == "" and html_blocks.main_text(None)[3] is None
 
 
+def test_html_lines_as_stated():
+    lines = lambda x: [y for y in html_blocks.lines(x) if y]
+    assert lines("<!-- hidden note <p>b") == ["b"]
+    assert lines("a<script>var x = '<p>code</p>'") == ["a"] and lines("a<style>p { }") == ["a"]
+    assert lines("a<script>x</SCRIPT >b<!-- c -->d<!DOCTYPE html>e") == ["a b d e"]
+    assert lines("<head><title>t</title><body>b") == ["b"] and lines("<svg>x <p>y") == ["x", "y"]
+    assert lines("one\ntwo\n\nthree &amp; four") == ["one", "two", "three & four"]
+    assert lines("<p>one\ntwo</p><pre>a\nb</pre>c\nd") == ["one two", "a", "b", "c d"]
+    assert lines("<pre>a\nb") == ["a", "b"] and lines("a < b <p>c</p>") == ["a < b", "c"] and lines("<p>a<b") == ["a"]
+
+
+@pytest.mark.parametrize("piece", ["<svg>x", "<!-- x ", "<script", "<head>x", "<pre>\n", "<", "&amp;", "<p ", "<iframe><!--", "<pre>x\n</pre>"])
+def test_html_takes_linear_time(piece):
+    began = time.time()
+    html_blocks.main_text(piece * 60_000)
+    assert time.time() - began < 5
+
+
+def test_html_runs_against_brute_force():
+    rng = random.Random(22)
+    for _ in range(300):
+        n = [rng.choice((0, 0, 5, 40, 90)) for _ in range(rng.randrange(25))]
+        block = [sum(n[i : i + 3]) for i in range(len(n))]
+        kept, on = [], False
+        for i, x in enumerate(block):
+            if not on and x > 86 and (i + 1 == len(n) or block[i + 1] > 0):
+                on = True
+            if x <= 0:
+                on = False
+            if on:
+                kept.append(i)
+        assert [i for a, b in html_blocks.runs(np.array(n, np.int64)) for i in range(a, b)] == kept
+
+
 def test_passages_against_brute_force(spark):
     rng = random.Random(6)
     texts, want = [], set()
@@ -354,6 +437,49 @@ def test_quality_on_held_out_labels(spark):
     assert scored > 0.85
 
 
+def test_quality_against_brute_force(spark):
+    """Features, training and scores in plain Python, with one feature number a distinct n-gram."""
+    rng = random.Random(25)
+    texts = [" ".join(rng.choice(("good", "bad", "!!", "?!?", "!!!!!!!!a", "!" * 500, "the", "x_1")) for _ in range(rng.randrange(1, 30))) for _ in range(60)] + ["", "the the the"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    labels = [(i, int("good" in texts[i].split()[:3]), None if i % 5 == 0 else int("bad" in texts[i].split()[:3])) for i in range(0, 60, 2)] + [(None, 1, 1), (3, None, None), (999, 1, 1), (4, 1, 0)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+
+    def plain(t):
+        w = [x.lower() for x in re.findall(r"\w+", t)]
+        f = {("w", x) for x in w} | {("p", *x) for x in zip(w, w[1:])} | {("s", x) for x in re.findall(r"[^\w\s]+", t)}
+        return f | ({("t",)} if any(a == b == c for a, b, c in zip(w, w[1:], w[2:])) else set())
+
+    train = [(r.doc_id, r.quality, r.toxic) for r in labels.where("doc_id < 900 and (quality is not null or toxic is not null)").selectExpr("*", "xxhash64(doc_id) h").orderBy("h", "doc_id", "quality", "toxic").collect()]
+    z, n = [Counter(), Counter()], [Counter(), Counter()]
+    w = lambda m, f: 0.0 if abs(z[m][f]) <= quality.L1 else (math.copysign(quality.L1, z[m][f]) - z[m][f]) / ((quality.BETA + math.sqrt(n[m][f])) / quality.ALPHA + quality.L2)
+    p = lambda m, f: 1 / (1 + math.exp(-sum(w(m, x) for x in f)))
+    for _ in range(quality.EPOCHS):
+        for i, *ys in train:
+            f = plain(texts[i]) | {"bias"}
+            for m, y in enumerate(ys):
+                if y is None:
+                    continue
+                g = p(m, f) - y
+                old = {x: w(m, x) for x in f}
+                for x in f:
+                    sigma = (math.sqrt(n[m][x] + g * g) - math.sqrt(n[m][x])) / quality.ALPHA
+                    z[m][x] += g - sigma * old[x]
+                    n[m][x] += g * g
+    got = {r.doc_id: r for r in quality.classify(spark, docs, labels).collect()}
+    kept = {r.doc_id for r in quality.quality_filter(docs, quality.fit(docs, labels)).collect()}
+    for i, t in rows:
+        f = plain(t) | {"bias"}
+        assert (got[i].quality, got[i].toxicity) == pytest.approx((p(0, f), p(1, f)), abs=1e-5)
+        assert got[i].keep == (i in kept) == (got[i].quality >= quality.LEAST_QUALITY and got[i].toxicity < quality.MOST_TOXIC)
+
+
+def test_whole_runs_of_symbols_count():
+    a, b = quality.features(["!!!!!!!!", "!!!!!!!!!"])
+    assert a.tolist() != b.tolist()
+
+
 def test_bpe_chunks_equal_whole(spark):
     rng = random.Random(9)
     texts = [sentence(rng, n) + "  \n don't  12345 ünïcodeあ " * 3 for n in (1, 50, 400)] + ["x" * 900, " " * 700 + "a", "a" + "\n \t" * 300]
@@ -366,9 +492,41 @@ def test_bpe_chunks_equal_whole(spark):
 
 
 def test_license_rules(spark):
-    rows = [(1, "Hello.\nLicensed under the Apache License, Version 2.0."), (2, "nothing here"), (3, "All rights reserved. All rights reserved!")]
+    rows = [(1, "Hello.\nLicensed under the Apache License, Version 2.0."), (2, "nothing here"), (3, "All rights reserved. All rights reserved!"), (4, "This is free and unencumbered software released into the public  domain."), (5, "All rights-reserved.")]
     got = {(r.doc_id, r.license, r.n_found) for r in license.recognise(frame(spark, rows)).collect()}
-    assert (3, "Proprietary", 2) in got and not any(d == 2 for d, _, _ in got)
+    assert got == {(1, "Apache-2.0", 1), (3, "Proprietary", 2), (4, "Unlicense", 1), (5, "Proprietary", 1)}
+
+
+def test_repeated_rows_of_a_document_are_scanned_each(spark):
+    mit = " ".join(("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."))
+    rows = [(7, mit), (7, mit), (None, mit), (None, "All rights reserved.")]
+    docs = frame(spark, rows).withColumn("said", F.lit(1)).withColumn("license", F.lit("x"))
+    got = Counter((r.doc_id, r.license, r.rule, r.n_found, r.is_longest) for r in license.recognise(docs).collect())
+    assert got == {(7, "MIT", 3, 1, True): 2, (7, "MIT", 4, 1, False): 2, (None, "MIT", 3, 1, True): 1, (None, "MIT", 4, 1, False): 1, (None, "Proprietary", 0, 1, True): 1}
+
+
+def test_license_rules_against_brute_force():
+    """Random sequences of known sentences and noise, wrapped anywhere; each rule's sequence is looked up in the list of ids."""
+    rng = random.Random(21)
+    ids = sorted(license.SENTENCES)
+    for _ in range(200):
+        said = [rng.choice(ids) for _ in range(rng.randrange(6))]
+        text = ""
+        for i in said:
+            text += rng.choice(("", "Some other words here. ", "Note:\n")) + re.sub(" ", lambda _: rng.choice((" ", " ", " ", "\n", "\n * ")), license.SENTENCES[i].capitalize()) + rng.choice((". ", ".\n"))
+        known = {license.normal(v): k for k, v in license.SENTENCES.items()}
+        found = [sid for _, sid in license.said_in(text, known, license.beginnings(known))]
+        assert found == said, text
+        want = []
+        for name, k, seq in license.rule_rows():
+            seq = seq.strip(",").split(",")
+            n, i = 0, 0
+            while i + len(seq) <= len(said):  # side by side, not overlapping
+                hit = said[i : i + len(seq)] == seq
+                n, i = n + hit, i + (len(seq) if hit else 1)
+            if n:
+                want.append((name, k, n))
+        assert [x[:3] for x in license.rules_in(said, license.rule_rows())] == want
 
 
 NOTICES = {

@@ -26,6 +26,10 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: folders of this session's workspaces
+_roots: list[str] = []
+
+
 class Workspace:
     """Tables written to the shared folder of spark.checkpoint.dir; all but the kept ones go at the end.
 
@@ -42,6 +46,9 @@ class Workspace:
             base = "file://" + tempfile.mkdtemp(prefix="fleetweave-")
         self.root = f"{base.rstrip('/')}/fleetweave-{uuid.uuid4().hex}"
         self.written: dict[str, bool] = {}
+        # what a result still reads goes with ``clean``, or else when the session's JVM ends
+        self._files(self.root, lambda fs, path: fs.deleteOnExit(path))
+        _roots.append(self.root)
 
     def __enter__(self) -> Workspace:
         return self
@@ -59,8 +66,31 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         self.written.pop(name, None)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._files(f"{self.root}/{name}", lambda fs, path: fs.delete(path, True))
+
+    def _files(self, path: str, act: Callable) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        act(where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables that results of this session still read. To be called when those results are consumed."""
+    while _roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_roots.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def pack(df: DataFrame) -> DataFrame:
+    """All columns by number in one struct named row, so that no name can clash with an operator's own."""
+    return df.select(F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns))).alias("row"))
+
+
+def unpack(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,10 +179,12 @@ def components(ws: Workspace, edges: DataFrame, name: str, keep: bool = False) -
         star = large.join(low, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).unionByName(low.select("node", F.col("m").alias("root"))).where("node <> root").distinct()
         k += 1
         new = ws.write(star, f"{name}-{k}", keep)
-        signs = [d.agg(F.count("*"), F.sum(F.hash("node", "root").cast("long"))).first() for d in (now, new)]
+        signs = [d.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first() for d in (now, new)]
+        # equal sums end the rounds only if no row has changed; both tables are distinct
+        same = signs[0] == signs[1] and new.join(now, ["node", "root"], "left_anti").isEmpty()
         ws.drop(f"{name}-large{k - 1}")
         ws.drop(f"{name}-{k - 1}")
-        if signs[0] == signs[1]:
+        if same:
             return new
         now = new
 

@@ -192,6 +192,68 @@ def test_decontamination_finds_substituted_passages(spark):
     assert {r.doc_id for r in decontam.without(docs, bench).collect()} == set(range(60)) - {d for d, _ in want}
 
 
+def brute_overlaps(docs, items):
+    """(doc, item) with enough equal words on some diagonal: in its best run or, of all the item's words, the least share."""
+    out = set()
+    for (d, t), (i, u) in itertools.product(enumerate(docs), enumerate(items)):
+        h, w = ([x.lower() for x in re.findall(r"\w+", y or "")] for y in (t, u))
+        if 0 < len(w) < 4:
+            if h == w:
+                out.add((d, i))
+            continue
+        least = min(13, math.ceil(0.8 * len(w)))
+        for shift in range(-len(w), len(h)) if w else ():
+            eq = [h[k + shift] == x for k, x in enumerate(w) if 0 <= k + shift < len(h)]
+            best, run, n, most = 0, 0, 0, 0
+            for e in eq:
+                run, n = (0, 0) if run < 0 else (run, n)
+                run, n = run + (1 if e else -3), n + e
+                if run > best:
+                    best, most = run, n
+            if most >= least or sum(eq) >= max(least, 0.8 * len(w)):
+                out.add((d, i))
+                break
+    return out
+
+
+@pytest.mark.parametrize("slice_chars", [decontam.SLICE_CHARS, 1])
+def test_decontamination_against_brute_force(spark, slice_chars):
+    rng = random.Random(28)
+    items = [sentence(rng, n, 10**6) for n in (1, 2, 3, 4, 5, 7, 8, 12, 15, 20, 30, 45) for _ in range(3)] + ["", "?!", None]
+    items += [items[20], "same words same words same words"]
+    docs = ["", None, "?!", *items[:9], "same words same words same words and more"]
+    for k in range(90):
+        w = (items[k % 36] or "").split()
+        for j in rng.sample(range(len(w)), int(len(w) * rng.choice((0, 0, 0.1, 0.2, 0.3)))):
+            w[j] = "other"
+        cut = w[: rng.randrange(len(w) // 2, len(w) + 1)] if k % 4 == 0 else w
+        docs.append(" ".join((sentence(rng, rng.choice((0, 20)), 10**6), *cut, sentence(rng, rng.choice((0, 20)), 10**6))))
+    docs += [docs[-1], docs[-1]]
+    want = brute_overlaps(docs, items)
+    frame_ = frame(spark, enumerate(docs)).withColumn("h", F.lit(1)).withColumn("row", F.lit("x")).withColumn("item", F.lit(1))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("item", F.lit(1)).withColumn("row", F.lit(2))
+    rows = decontam.find(frame_, bench, slice_chars=slice_chars, filter_bits=20).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert len(rows) == len(got) and got <= want and len(got) >= 0.97 * len(want) and len(want) > 60
+    kept = decontam.without(frame_, bench, slice_chars=slice_chars, filter_bits=20)
+    assert kept.columns == frame_.columns and {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in got}
+    one = {(r.doc_id, r.item_id): r for r in rows}
+    for d, i in got:
+        found = docs[d][one[d, i].start_char : one[d, i].end_char]
+        assert len(re.findall(r"\w+", found)) == one[d, i].n_words >= one[d, i].n_match
+
+
+def test_benchmark_rows_that_are_null_empty_or_repeated(spark):
+    rng = random.Random(29)
+    item = sentence(rng, 20, 10**6)
+    docs = frame(spark, [(1, f"before {item} after"), (1, f"before {item} after"), (None, item), (2, None), (3, "")])
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None), (9, "")], "item_id long, text string")
+    for chars in (decontam.SLICE_CHARS, 1):
+        got = Counter((r.doc_id, r.item_id, r.n_match) for r in decontam.find(docs, bench, slice_chars=chars, filter_bits=16).collect())
+        assert got == {(1, 7, 20): 4, (1, None, 20): 2, (None, 7, 20): 2, (None, None, 20): 1}
+        assert sorted(r.doc_id for r in decontam.without(docs, bench, slice_chars=chars, filter_bits=16).collect()) == [2, 3]
+
+
 @pytest.mark.parametrize("n", [5, 8, 10, 14, 16, 18, 20, 25])
 def test_decontamination_at_the_stated_tolerance(n):
     """Whole items with as many words substituted as ``need`` and ``LEAST_SHARE`` allow."""

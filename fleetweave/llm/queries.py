@@ -68,7 +68,7 @@ def _license_sql() -> str:
 WITH known(sentence, sid) AS (VALUES {known}), rules(license, rule, seq) AS (VALUES {rules}),
 rows_ AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
 parts AS MATERIALIZED (SELECT r, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?;:]+(\s|$)', chr(10), 'g'), '[
-]+'), x -> trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), x -> x <> '') AS said FROM rows_),
+]+'), lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda x: x <> '') AS said FROM rows_),
 places AS (SELECT r, said, unnest(generate_series(1, len(said))) AS pos FROM parts),
 spans AS ({spans}),
 found AS (SELECT r, pos, arg_max(sid, n) AS sid FROM spans JOIN known USING (sentence) GROUP BY 1, 2),

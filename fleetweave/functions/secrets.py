@@ -1,52 +1,151 @@
-"""Named secret patterns, false-positive rules and masking, as Column expressions; order decides."""
+"""Secrets: by path, by form and by the entropy of what has no form; what only looks like one is let be.
+
+The first that holds decides: a path that always holds secrets, a harmless form, a known form, a path that is exempt
+from entropy, the entropy of 16 characters or more; after these, forms of one platform. The rules are SQL text, so that
+both engines run the same ones; null values have no method.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Java and RE2 read them alike
+from fleetweave.functions.values import entropy_sql, glob_regex
+
+#: forms in order; Java and RE2 read them alike, and none holds a single quote (\x27)
 PATTERNS = {
-    "aws_access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "azure_key": r"AccountKey=[A-Za-z0-9+/=]{40,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY",
-    "bearer": r"(?i)\bbearer\s+[a-z0-9._-]{20,}",
-    "github": r"\bgh[pousr]_[A-Za-z0-9]{36,}",
-    "assignment": r"(?i)\b(password|passwd|secret|token|api_?key)\s*[=:]\s*\S{6,}",
-    "aws_secret": r"(?i)aws.{0,20}[0-9a-z/+]{40}",
-    "url_password": r"://[^/\s:@]+:[^/\s:@]+@",
-    "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.",
-    "gitlab": r"\bglpat-[A-Za-z0-9_-]{20,}",
-    "slack": r"\bxox[abpr]-[A-Za-z0-9-]{10,}",
-    "sendgrid": r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}",
-    "stripe": r"\b[sr]k_(live|test)_[A-Za-z0-9]{16,}",
-    "type7": r"(?i)\b(password|key|secret)\s+7\s+[0-9a-f]{4,}",
-    "type8or9": r"\$[89]\$\S{10,}",
-    "junos": r"\$9\$\S{10,}",
+    "aws_access_key": r"AKIA[A-Z0-9]{16}",
+    "azure_connection_string": r"(?i)defaultendpointsprotocol=https?;accountname=",
+    "private_key_block": r"-----BEGIN ((DSA|EC|OPENSSH|RSA) )?PRIVATE KEY-----",
+    "bearer_token": r"Bearer\s+[\w.~+/-]{20,}",
+    "github_token": r"(gh[oprs]|github_pat)_\w{20,}",
+    "generic_credential_pair": r"(?i)(passw(or)?d|secret|api_?key|access_key|private_key|auth_token)\s*[:=]\s*\S",
+    "aws_secret_key": r"(?i)key.*[:=]\s*[\x27\"]?[a-z0-9/+=]{40}",
+    "basic_auth_url": r"://[^\s/]+:[^\s/]+@[^\s/]",
+    "jwt": r"eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}",
+    "gitlab_pat": r"glpat-[\w-]{20,}",
+    "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    "sendgrid": r"SG\.[\w-]{22,}\.[\w-]{22,}",
+    "stripe": r"[rs]k_(test|live)_[A-Za-z0-9]{20,}",
+    "cisco_type7": r"\b[0-9]{2}([0-9a-fA-F]{2}){4,}\b",
+    "cisco_type89": r"\$[89]\$[^$\s]",
+    "junos_encrypted": r"\$9\$[^$\s]",
 }
+#: forms that aren't secrets, of the value without white space around it
 HARMLESS = {
-    "placeholder": r"(?i)^(\$\{.*\}|<.*>|changeme|redacted|x{4,}|\*{4,}|example.*)$",
-    "path": r"^[~.]{0,2}/[A-Za-z0-9._/-]*$",
-    "uuid": r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    "mac": r"(?i)^([0-9a-f]{2}[:-]){5}[0-9a-f]{2}$",
-    "ipv4": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}(/[0-9]{1,2})?$",
-    "digits": r"^[0-9.,:-]+$",
-    "url": r"^https?://[^@]*$",
+    "word": r"(?i)^\s*(change_?me|dummy|example|fixme|placeholder|replace_me|sample|test|todo|xxx|your_(key|secret))\s*\z",
+    "placeholder": r"(<[^>]+>|\{\{[^}]+\}\}|\$\{[^}]+\}|\$\([^)]+\)|%\([^)]+\)s)",
+    "reference": r"(?i)^\s*((vault|ssm|arn|env|ref|secret|gsm|kms):|op://)",
+    "path": r"(^\s*\.{0,2}/|\.(pem|crt|key|cert)\s*\z)",
+    "url": r"(?i)^\s*https?://[^@]*\z",
+    "uuid": r"^\s*[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\s*\z",
+    "mac": r"^\s*(([0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}|([0-9a-fA-F]{4}\.){2}[0-9a-fA-F]{4})\s*\z",
+    "ipv4": r"^\s*([0-9]{1,3}\.){3}[0-9]{1,3}(/[0-9]{1,2})?\s*\z",
+    "ipv6": r"^\s*([0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}(/[0-9]{1,3})?\s*\z",
+    "digits": r"^\s*[0-9]+\s*\z",
+}
+_ALWAYS = "password secret secrets secrets.* credentials credentials.* private_key api_key connection_string env.* token auth_token access_token client_secret client-secret encryption_key encryption-key db_password db-password"
+PATHS = tuple(f"*.{x}" for x in _ALWAYS.split())
+EXEMPT = tuple(f"*.{x}{y}" for x in ("healthcheck.test", "command", "entrypoint", "description", "comment") for y in ("", ".*"))
+#: of network devices and of directories
+NETWORK_PATHS = tuple(f"*.{x}" for x in "community snmp-community shared-secret shared_secret pre-shared-key psk md5-key authentication-key tacacs-key radius-key enable-secret enable-password".split())
+DEVICE_PATHS = ("tacacs-server", "tacacs-server.key", "radius-server", "radius-server.key")
+DIRECTORY_PATHS = ("*.secretText", "*.clientSecret")
+DEVICE_FORMS = {
+    "iosxr_key_7": r"\bkey\s+7\s+\S",
+    "iosxr_secret_encrypted": r"\bsecret\s+[057]\s+\S",
+    "iosxr_community_string": r"\bcommunity\s+\S+\s+R[OW]\b",
+    "iosxr_community_inline": r"\bversion\s+2c\s+\S",
+    "iosxr_key_string": r"\bkey-string\s+\S",
 }
 LEAST_LENGTH, BASE64_BITS, HEX_BITS = 16, 4.5, 3.0
+_BASE64, _HEX = r"[A-Za-z0-9+/]{16,}", r"[0-9A-Fa-f]{16,}"
+REDACTED = "[REDACTED]"
+
+
+def _like(c: str, rule: str, duck: bool) -> str:
+    return f"regexp_matches({c}, '{rule}')" if duck else f"({c} rlike r'{rule}')"
+
 
+def charset_sql(c: str, duck: bool = False, base64_bits: float = BASE64_BITS, hex_bits: float = HEX_BITS) -> str:
+    """Whether the entropy is above the limit of the characters: a run of base64 comes first, a hexadecimal one counts unless all are digits."""
+    bits = entropy_sql(c, duck)
+    return f"CASE WHEN {_like(c, _BASE64, duck)} THEN {bits} >= {base64_bits} WHEN {_like(c, _HEX, duck)} THEN NOT {_like(c, '^[0-9]+$', duck)} AND {bits} >= {hex_bits} ELSE {bits} >= {base64_bits} END"
 
-def first_match(c: Column, rules: dict[str, str]) -> Column:
+
+def first_sql(c: str, rules: dict[str, str], duck: bool = False, mark: str = "") -> str:
     """The name of the first rule that a value matches, or null."""
-    out = F.when(F.lit(False), "")
-    for name, rule in rules.items():
-        out = out.when(c.rlike(rule), name)
-    return out
+    return "CASE " + " ".join(f"WHEN {_like(c, r, duck)} THEN '{mark}{n}'" for n, r in rules.items()) + " END"
+
+
+def _any(c: str, globs: tuple[str, ...], duck: bool) -> str:
+    return _like(c, "|".join(glob_regex(g, across=True) for g in globs), duck) if globs else "false"
+
+
+def detect_sql(value: str, path: str, duck: bool = False, paths: tuple[str, ...] = PATHS, forms: dict[str, str] | None = None) -> str:
+    """The method by which a value is found to be a secret, or null: path_pattern, regex:name, entropy or value_pattern:name."""
+    harmless = " OR ".join(_like(value, r, duck) for r in HARMLESS.values())
+    core = f"CASE WHEN {value} IS NULL THEN NULL WHEN {_any(path, paths, duck)} THEN 'path_pattern' WHEN {harmless} THEN NULL "
+    core += " ".join(f"WHEN {_like(value, r, duck)} THEN 'regex:{n}'" for n, r in PATTERNS.items())
+    core += f" WHEN {_any(path, EXEMPT, duck)} THEN NULL WHEN length({value}) >= {LEAST_LENGTH} AND ({charset_sql(value, duck)}) THEN 'entropy' END"
+    return f"coalesce({core}, {first_sql(value, forms, duck, 'value_pattern:')})" if forms else core
+
+
+def detect(value: str = "value", path: str = "path", paths: tuple[str, ...] = PATHS, forms: dict[str, str] | None = None) -> Column:
+    return F.expr(detect_sql(value, path, False, paths, forms))
+
+
+def mask_attributes(attrs: DataFrame, paths: tuple[str, ...] = PATHS, forms: dict[str, str] | None = None) -> DataFrame:
+    """The attributes (entity_id, path, attr_type, value) with secrets replaced and their method (else null), paths led by the entity.
+
+    Members of composites are looked at one by one and masked in place; a composite's method is that of its first secret.
+    """
+    one = lambda v, p: detect_sql(v, p, False, paths, forms)
+    whole = "concat(entity_id, '.', path)"
+    plain = F.expr(one("value", whole))
+    maps = F.from_json("value", "map<string,map<string,string>>")
+    lists = F.from_json("value", "array<map<string,string>>")
+    inner = lambda at: f"transform_values(m, (f, v) -> struct(v AS v, {one('v', at)} AS method))"
+    found = attrs.withColumn("_maps", F.when(F.col("attr_type") == "map", maps)).withColumn("_lists", F.when(F.col("attr_type") == "list", lists))
+    at_map = "concat(" + whole + ", '.', k, '.', f)"
+    at_list = "concat(" + whole + ", '[', i, '].', f)"
+    found = found.withColumn("_maps", F.expr(f"transform_values(_maps, (k, m) -> {inner(at_map)})")).withColumn("_lists", F.expr(f"transform(_lists, (m, i) -> {inner(at_list)})"))
+    clean = "transform_values(m, (f, s) -> if(s.method IS NULL, s.v, '" + REDACTED + "'))"
+    first = lambda members: f"element_at(filter(flatten(transform({members}, m -> transform(map_values(m), s -> s.method))), x -> x IS NOT NULL), 1)"
+    method = F.expr(f"CASE WHEN attr_type = 'map' THEN try_element_at(filter(flatten(transform(map_values(_maps), m -> transform(map_values(m), s -> s.method))), x -> x IS NOT NULL), 1) WHEN attr_type = 'list' THEN try_{first('_lists')} END")
+    out = found.withColumn("method", F.when(F.col("attr_type").isin("map", "list"), method).otherwise(plain))
+    value = F.expr(f"CASE WHEN attr_type = 'map' THEN to_json(transform_values(_maps, (k, m) -> {clean})) WHEN attr_type = 'list' THEN to_json(transform(_lists, m -> {clean})) WHEN method IS NOT NULL THEN '{REDACTED}' ELSE value END")
+    return out.withColumn("value", F.when(F.col("attr_type").isin("map", "list") & F.col("method").isNull(), F.col("value")).otherwise(value)).drop("_maps", "_lists")
+
+
+#: a line that gives a name a value; the value may be quoted
+ASSIGNMENT = r"^\s*([A-Za-z_][\w-]*)\s*[:=]\s*[\"\x27]?(.*?)[\"\x27]?\s*\z"
+
+
+def line_units_sql(duck: bool = False) -> tuple[str, str, str]:
+    """(path, value, method) of a line of a text: that of the value it assigns, or of the line itself."""
+    get = lambda n: f"regexp_extract(line, '{ASSIGNMENT}', {n})" if duck else f"regexp_extract(line, r'{ASSIGNMENT}', {n})"
+    path = f"CASE WHEN {get(1)} <> '' THEN concat('text.', {get(1)}) ELSE 'text' END"
+    value = f"CASE WHEN {get(1)} <> '' THEN {get(2)} ELSE line END"
+    return path, value, detect_sql("value", "path", duck)
+
+
+def scan_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line_no, line, method, tokens): tokens are (word, method) of the line's words; no shuffle."""
+    path, value, method = line_units_sql()
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("path", F.expr(path)).withColumn("value", F.expr(value)).withColumn("method", F.expr(method))
+    return lines.select(key, "line_no", "line", "method", F.expr(f"transform(split(line, ' '), t -> struct(t AS word, if(length(t) >= {LEAST_LENGTH}, {detect_sql('t', 'path')}, NULL) AS method))").alias("tokens"))
 
 
-def first_match_sql(c: str, rules: dict[str, str]) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{r}') THEN '{n}'" for n, r in rules.items()) + " END"
+def audit_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line_no, word_no, method) of each secret; word_no is -1 for a whole line or an assigned value. Never the value."""
+    seen = scan_lines(docs, key, text)
+    whole = seen.where("method is not null").select(key, "line_no", F.lit(-1).alias("word_no"), "method")
+    words = seen.where("method is null").select(key, "line_no", F.posexplode("tokens").alias("word_no", "t")).where("t.method is not null").select(key, "line_no", "word_no", F.col("t.method").alias("method"))
+    return whole.unionByName(words)
 
 
-def mask(c: Column, rules: dict[str, str] = PATTERNS) -> Column:
-    return F.when(first_match(c, rules).isNotNull(), "[REDACTED]").otherwise(c)
+def mask_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line_no, line) with secrets replaced: the line, or the words that are."""
+    words = F.expr(f"array_join(transform(tokens, t -> if(t.method IS NULL, t.word, '{REDACTED}')), ' ')")
+    return scan_lines(docs, key, text).select(key, "line_no", F.when(F.col("method").isNotNull(), REDACTED).otherwise(words).alias("line"))

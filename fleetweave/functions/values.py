@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 
 def as_text(name: str, kind: str) -> Column:
-    """One spelling a value, the same in every engine: doubles with two decimals, timestamps to the second."""
+    """One spelling a value, with nothing lost: whole doubles as integers (1.0 and 1 are equal), others with the digits
+    that tell them apart, timestamps to the microsecond, other kinds as Spark spells them."""
     c = F.col(name)
-    if kind in ("double", "float") or kind.startswith("decimal"):
-        return c.cast("decimal(18,2)").cast("string")
-    if kind == "timestamp":
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    if kind in ("double", "float"):
+        d = c.cast("double")
+        whole = (d == F.floor(d)) & (F.abs(d) < 1e15) & ~((d == 0) & d.cast("string").startswith("-"))
+        return F.when(whole, F.expr(f"try_cast(`{name}` as bigint)").cast("string")).otherwise(d.cast("string"))
+    if kind.startswith("timestamp"):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return c.cast("string")
 
 
@@ -50,6 +53,14 @@ def glob_regex(pattern: str, across: bool = False) -> str:
 
 def char_entropy(c: str) -> Column:
     """Bits a character of a string column, 0 for an empty one; six decimals."""
-    chars = f"array_distinct(filter(split({c}, ''), x -> x <> ''))"
+    return F.expr(entropy_sql(c))
+
+
+def entropy_sql(c: str, duck: bool = False) -> str:
+    """The same as SQL text."""
     n = f"(length({c}) - length(replace({c}, x, '')))"
-    return F.expr(f"round(if(length({c}) = 0, 0d, log2(length({c})) - aggregate({chars}, 0d, (a, x) -> a + {n} * log2({n})) / length({c})), 6)")
+    if duck:
+        each = f"list_sum(list_transform(list_distinct(string_split({c}, '')), lambda x: {n} * log2({n})))"
+    else:
+        each = f"aggregate(array_distinct(filter(split({c}, ''), x -> x <> '')), 0d, (a, x) -> a + {n} * log2({n}))"
+    return f"round(CASE WHEN length({c}) = 0 THEN 0 ELSE log2(length({c})) - {each} / length({c}) END, 6)"

@@ -1,17 +1,15 @@
-"""Factoring: signatures, identity fields, majority classes, bundles, nearest class, deltas, overlay and comparison."""
+"""Factoring: signatures, identity fields, majority classes, deltas, overlay and comparison."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def signature_groups(leaves: DataFrame) -> DataFrame:
-    """Entities of equal (path, type, value) sets: (signature, n_entities, first_entity)."""
-    sig = leaves.groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "path", "value"))), "|").alias("signature"))
+    """Entities of equal (path, type, value) sets: (signature, n_entities, first_entity). The signature is JSON, so no mark in a path or value can be taken for another."""
+    sig = leaves.groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.array("path", "value_type", "value")))), ",").alias("signature"))
     return sig.groupBy("signature").agg(F.count("*").alias("n_entities"), F.min("entity_id").alias("first_entity"))
 
 
@@ -36,28 +34,6 @@ def universal(leaves: DataFrame, group: str) -> DataFrame:
     return majority(leaves, group, 100).select(group, "path", "value")
 
 
-def bundles(leaves: DataFrame, group: str, least: int = 3, most_size: int = 3) -> DataFrame:
-    """Sets of up to three items that ``least`` entities of a group share, with support and gain; level by level.
-
-    A set counts only if its items do (support falls with size), so each level joins what the last one left.
-    """
-    item = F.concat_ws("=", "path", "value")
-    rows = leaves.select(group, "entity_id", item.alias("i1"))
-    common = rows.groupBy(group, "i1").count().where(f"count >= {least}").drop("count")
-    rows = rows.join(common, [group, "i1"])
-    found, level = [], rows
-    for k in range(1, most_size + 1):
-        if k > 1:
-            level = level.join(rows.withColumnRenamed("i1", f"i{k}"), [group, "entity_id"]).where(f"i{k - 1} < i{k}")
-        names = [f"i{j}" for j in range(1, k + 1)]
-        count = level.groupBy(group, *names).agg(F.count("*").alias("support")).where(f"support >= {least}")
-        if 1 < k < most_size:
-            level = level.join(count.drop("support"), [group, *names])
-        found.append(count.select(group, F.array_join(F.array(*names), " & ").alias("bundle"), F.lit(k).cast("long").alias("size"), "support"))
-    out = reduce(DataFrame.unionByName, found)
-    return out.withColumn("gain", F.expr("support * (length(bundle) div 4 + 2 * size) - (length(bundle) div 4 + 2 * size + 8 + support * 4)").cast("long"))
-
-
 def deltas(leaves: DataFrame, classes: DataFrame, group: str) -> DataFrame:
     """(entity_id, path, op, value) against the class of the entity's group: what differs is set, what lacks is absent."""
     ids = leaves.select(group, "entity_id").distinct()
@@ -81,20 +57,6 @@ def mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where("not (left_value <=> right_value)")
 
 
-def nearest(leaves: DataFrame, classes: DataFrame, group: str) -> DataFrame:
-    """(entity_id, class, cost): the class whose values cost least to correct; the first name decides ties.
-
-    Agreements are counted by an equi-join on (path, value), so no entity is held against a class that shares nothing
-    with it; classes that share nothing all cost their whole size plus the entity's.
-    """
-    size = classes.groupBy(group).agg(F.count("*").alias("n_class"))
-    mine = leaves.groupBy("entity_id").agg(F.count("*").alias("n_mine"))
-    hits = leaves.select("entity_id", "path", "value").join(classes.select(F.col(group).alias("class"), "path", "value"), ["path", "value"])
-    same = hits.groupBy("entity_id", "class").agg(F.count("*").alias("same"))
-    cost = same.join(size.withColumnRenamed(group, "class"), "class").join(mine, "entity_id").select("entity_id", "class", F.expr("n_class + n_mine - 2 * same").alias("cost"))
-    return cost.groupBy("entity_id").agg(F.min(F.struct("cost", "class")).alias("b")).select("entity_id", F.col("b.class").alias("class"), F.col("b.cost").alias("cost"))
-
-
 def multiset_difference(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Rows whose numbers differ, with the surplus of a over b: one aggregation of signed counts."""
     both = a.select(*columns, F.lit(1).alias("s")).unionByName(b.select(*columns, F.lit(-1).alias("s")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetweave.functions import secrets
-from fleetweave.functions.values import char_entropy, glob_regex, tokens
+from fleetweave.functions.values import char_entropy, entropy_sql, glob_regex, tokens
 from fleetweave.operators import factor, profile, serve
 from fleetweave.sources import readers
 from fleetweave.sources.table import leaves
@@ -19,11 +19,11 @@ ORACLES: dict[str, str] = {}
 
 #: section: (key, paths with their kinds, d for doubles and t for timestamps)
 FLEETS = {
-    "part": ("p_partkey", {"p_brand": "", "p_type": "", "p_size": "n", "p_retailprice": "d"}),
-    "orders": ("o_orderkey", {"o_orderstatus": "", "o_orderpriority": "", "o_orderdate": "t"}),
+    "part": ("p_partkey", {"p_name": "", "p_brand": "", "p_type": "", "p_size": "n", "p_retailprice": "d"}),
+    "orders": ("o_orderkey", {"o_custkey": "n", "o_orderstatus": "", "o_totalprice": "d", "o_orderdate": "t", "o_orderpriority": ""}),
     "supplier": ("s_suppkey", {"s_name": "", "s_nationkey": "n", "s_acctbal": "d"}),
-    "customer": ("c_custkey", {"c_name": "", "c_nationkey": "n", "c_mktsegment": ""}),
-    "events": ("event_id", {"event_type": "", "user_id": "n", "value": "d"}),
+    "customer": ("c_custkey", {"c_name": "", "c_nationkey": "n", "c_acctbal": "d", "c_mktsegment": ""}),
+    "events": ("event_id", {"ts": "t", "user_id": "n", "event_type": "", "value": "d", "props": ""}),
 }
 
 
@@ -38,7 +38,7 @@ def _leaves(spark: SparkSession, sf_dir: str, name: str, keep: list[str] | None
 
 def _leaves_sql(name: str, keep: str = "", paths: list[str] | None = None) -> str:
     key, kinds = FLEETS[name]
-    spell = {"d": "CAST(CAST({0} AS DECIMAL(18,2)) AS VARCHAR)", "t": "strftime({0}, '%Y-%m-%d %H:%M:%S')", "n": "CAST({0} AS VARCHAR)", "": "{0}"}
+    spell = {"d": "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END", "t": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')", "n": "CAST({0} AS VARCHAR)", "": "{0}"}
     kind = {"d": "number", "n": "number", "t": "string", "": "string"}
     rows = [f"SELECT CAST({key} AS VARCHAR) AS entity_id, '{name}' AS section, {keep + ',' if keep else ''} '{p}' AS path, '{kind[k]}' AS value_type, {spell[k].format(p)} AS value FROM {name} WHERE {p} IS NOT NULL" for p, k in kinds.items() if paths is None or p in paths]
     return " UNION ALL ".join(rows)
@@ -58,7 +58,7 @@ for _n in ("part", "orders", "supplier", "customer", "events"):
 _add(
     "signature_groups",
     lambda s, d: factor.signature_groups(_leaves(s, d, "orders", paths=["o_orderstatus", "o_orderpriority"])),
-    f"WITH l AS ({_leaves_sql('orders', paths=['o_orderstatus', 'o_orderpriority'])}), g AS (SELECT entity_id, string_agg(path || '=' || value, '|' ORDER BY path || '=' || value) AS signature FROM l GROUP BY 1) SELECT signature, count(*) AS n_entities, min(entity_id) AS first_entity FROM g GROUP BY 1",
+    f"WITH l AS ({_leaves_sql('orders', paths=['o_orderstatus', 'o_orderpriority'])}), g AS (SELECT entity_id, string_agg(CAST(json_array(path, value_type, value) AS VARCHAR), ',' ORDER BY CAST(json_array(path, value_type, value) AS VARCHAR)) AS signature FROM l GROUP BY 1) SELECT signature, count(*) AS n_entities, min(entity_id) AS first_entity FROM g GROUP BY 1",
 )
 _add(
     "identity_fields",
@@ -115,26 +115,11 @@ _add("class_delta", lambda s, d: _deltas(s, d)[2], f"{_D} SELECT * FROM delta")
 _add("layered_view", _layered, f"{_D}, {OVERLAY.format(g='brand')} SELECT entity_id, path, value, layer FROM seen")
 _add("reconstruct_rows", lambda s, d: _layered(s, d).drop("layer"), f"WITH lv AS ({BRAND}) SELECT entity_id, path, value FROM lv")
 _add("reconstruct_mismatch", lambda s, d: factor.mismatches(_brand(s, d), _layered(s, d)).agg(F.count("*").alias("mismatches")), "SELECT CAST(0 AS BIGINT) AS mismatches")
-_add(
-    "nearest_class",
-    lambda s, d: factor.nearest(_brand(s, d), factor.majority(_brand(s, d), "brand", 5), "brand"),
-    f"WITH {_majority_sql(BRAND, 'brand', 5)}, sz AS (SELECT brand AS class, count(*) AS n_class FROM classes GROUP BY 1), mn AS (SELECT entity_id, count(*) AS n_mine FROM lv GROUP BY 1), hit AS (SELECT lv.entity_id, c.brand AS class, count(*) AS same FROM lv JOIN classes c USING (path, value) GROUP BY 1, 2), co AS (SELECT entity_id, class, n_class + n_mine - 2 * same AS cost FROM hit JOIN sz USING (class) JOIN mn USING (entity_id)) SELECT entity_id, class, cost FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY cost, class) AS k FROM co) WHERE k = 1",
-)
 _add(
     "zero_delta_entities",
     lambda s, d: _brand(s, d).select("entity_id").distinct().join(_deltas(s, d)[2], "entity_id", "left_anti"),
     f"{_D} SELECT entity_id FROM ids WHERE entity_id NOT IN (SELECT entity_id FROM delta)",
 )
-_add(
-    "frequent_bundles",
-    lambda s, d: factor.bundles(_orders3(s, d), "month"),
-    "WITH lv AS (SELECT DISTINCT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders), it AS (SELECT o_orderkey AS e, month, unnest(['o_orderpriority=' || o_orderpriority, 'o_orderstatus=' || o_orderstatus, 'o_year=' || strftime(o_orderdate, '%Y')]) AS i FROM orders JOIN lv USING (o_orderkey)), a AS (SELECT month, i AS bundle, 1::BIGINT AS size, count(*) AS support FROM it GROUP BY 1, 2 UNION ALL SELECT x.month, x.i || ' & ' || y.i, 2, count(*) FROM it x JOIN it y ON x.e = y.e AND x.i < y.i GROUP BY 1, 2 UNION ALL SELECT x.month, x.i || ' & ' || y.i || ' & ' || q.i, 3, count(*) FROM it x JOIN it y ON x.e = y.e AND x.i < y.i JOIN it q ON q.e = x.e AND y.i < q.i GROUP BY 1, 2) SELECT *, support * (length(bundle) // 4 + 2 * size) - (length(bundle) // 4 + 2 * size + 8 + support * 4) AS gain FROM a WHERE support >= 3",
-)
-
-
-def _orders3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM")).withColumn("o_year", F.date_format("o_orderdate", "yyyy"))
-    return leaves(o, "o_orderkey", ["o_orderpriority", "o_orderstatus", "o_year"], "orders", ["month"])
 
 
 # comparison, references, similarity
@@ -143,33 +128,6 @@ _add(
     lambda s, d: factor.multiset_difference(_leaves(s, d, "part"), _leaves(s, d, "part").withColumn("value", F.expr("if(path = 'p_size' and value = '7', '8', value)")), ["path", "value"]),
     f"WITH l AS ({_leaves_sql('part')}), b AS (SELECT path, CASE WHEN path = 'p_size' AND value = '7' THEN '8' ELSE value END AS value FROM l) SELECT path, value, CAST(sum(s) AS BIGINT) AS surplus FROM (SELECT path, value, 1 AS s FROM l UNION ALL SELECT path, value, -1 FROM b) GROUP BY 1, 2 HAVING sum(s) <> 0",
 )
-_add(
-    "relationship_hints",
-    lambda s, d: _read(s, d, "supplier").join(_read(s, d, "customer"), F.expr("s_nationkey = c_nationkey")).groupBy("s_suppkey").agg(F.count("*").alias("n_targets"), F.min("c_custkey").alias("first_target")),
-    "SELECT s_suppkey, count(*) AS n_targets, min(c_custkey) AS first_target FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY 1",
-)
-_add(
-    "type_topology",
-    lambda s, d: _read(s, d, "customer").join(_read(s, d, "orders"), F.expr("c_custkey = o_custkey")).select(F.col("c_mktsegment").alias("src_type"), F.lit("ordered").alias("label"), F.col("o_orderpriority").alias("dst_type")).distinct(),
-    "SELECT DISTINCT c_mktsegment AS src_type, 'ordered' AS label, o_orderpriority AS dst_type FROM customer JOIN orders ON c_custkey = o_custkey",
-)
-_add("known_references", lambda s, d: _read(s, d, "customer").join(_read(s, d, "orders"), F.expr("c_custkey = o_custkey"), "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
-_add("unknown_references", lambda s, d: _read(s, d, "customer").join(_read(s, d, "orders"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_add(
-    "name_lookup",
-    lambda s, d: _read(s, d, "supplier").join(_read(s, d, "nation"), F.expr("s_nationkey = n_nationkey")).join(_read(s, d, "region"), F.expr("n_regionkey = r_regionkey")).select("s_suppkey", "n_name", "r_name"),
-    "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-)
-_add(
-    "anti_unify_neighbours",
-    lambda s, d: _read(s, d, "part").withColumn("other", F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey"))).alias("a").join(_read(s, d, "part").alias("b"), F.expr("a.other = b.p_partkey")).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.expr("int(not (a.p_type <=> b.p_type)) + int(not (a.p_size <=> b.p_size)) + int(not (a.p_name <=> b.p_name))").cast("long").alias("variables")),
-    "WITH x AS (SELECT *, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS other FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b, CAST((a.p_type IS DISTINCT FROM b.p_type)::INT + (a.p_size IS DISTINCT FROM b.p_size)::INT + (a.p_name IS DISTINCT FROM b.p_name)::INT AS BIGINT) AS variables FROM x a JOIN part b ON a.other = b.p_partkey",
-)
-_add(
-    "jaccard_pairs",
-    lambda s, d: serve.jaccard_pairs(_read(s, d, "supplier").join(_read(s, d, "lineitem"), F.expr("l_suppkey = s_suppkey")).select("s_nationkey", F.expr("l_partkey % 50").alias("bucket")), "s_nationkey", "bucket", 0.1),
-    "WITH x AS (SELECT DISTINCT s_nationkey AS k, l_partkey % 50 AS i FROM supplier JOIN lineitem ON l_suppkey = s_suppkey), n AS (SELECT k, count(*) AS n FROM x GROUP BY 1), p AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM x JOIN x y ON x.i = y.i AND x.k < y.k GROUP BY 1, 2) SELECT a, b, round(c / (m.n + q.n - c), 6) AS jaccard FROM p JOIN n m ON m.k = a JOIN n q ON q.k = b WHERE round(c / (m.n + q.n - c), 6) >= 0.1",
-)
 _add(
     "jaccard_part_pairs",
     lambda s, d: serve.jaccard_pairs(_read(s, d, "supplier").join(_read(s, d, "lineitem"), F.expr("l_suppkey = s_suppkey")).select("s_nationkey", "l_partkey"), "s_nationkey", "l_partkey", 0.1),
@@ -177,22 +135,15 @@ _add(
 )
 
 # ranges, retrieval, rankings
-_RANGES = "p AS (SELECT DISTINCT regexp_extract(c_name, '^(.*?)(\\d+)$', 1) AS prefix, regexp_extract(c_name, '^(.*?)(\\d+)$', 2) AS d FROM customer WHERE c_acctbal >= 0), q AS (SELECT prefix, length(d) AS width, CAST(d AS BIGINT) AS v FROM p WHERE d <> ''), i AS (SELECT *, v - row_number() OVER (PARTITION BY prefix, width ORDER BY v) AS g FROM q)"
-_rich = lambda s, d: _read(s, d, "customer").where("c_acctbal >= 0")
-_add("id_ranges", lambda s, d: serve.id_ranges(_rich(s, d), "c_name"), f"WITH {_RANGES} SELECT prefix, width, min(v) AS first, max(v) AS last, count(*) AS n FROM i GROUP BY prefix, width, g")
+_RANGES = "p AS (SELECT DISTINCT regexp_extract(c_name, '^(.*?)(\\d+)$', 1) AS prefix, regexp_extract(c_name, '^(.*?)(\\d+)$', 2) AS d FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), q AS (SELECT prefix, length(d) AS width, CAST(d AS BIGINT) AS v FROM p WHERE d <> ''), i AS (SELECT *, v - row_number() OVER (PARTITION BY prefix, width ORDER BY v) AS g FROM q)"
+_rich = lambda s, d: _read(s, d, "customer").join(_read(s, d, "orders"), F.expr("c_custkey = o_custkey"), "left_semi")
+_add("id_ranges", lambda s, d: serve.id_ranges(_rich(s, d), "c_name").selectExpr("prefix", "width", "cast(first as long) first", "cast(last as long) last", "n"), f"WITH {_RANGES} SELECT prefix, width, min(v) AS first, max(v) AS last, count(*) AS n FROM i GROUP BY prefix, width, g")
 _add("id_ranges_expand", lambda s, d: serve.expand_ranges(serve.id_ranges(_rich(s, d), "c_name")), f"WITH {_RANGES} SELECT DISTINCT prefix || lpad(CAST(v AS VARCHAR), CAST(width AS INT), '0') AS id FROM i")
 _add(
     "budget_retrieve",
     lambda s, d: serve.budget(_read(s, d, "documents").select("doc_id", tokens(F.col("text")).alias("cost")).where("cost is not null"), ["doc_id"], "cost", 50_000),
     "WITH x AS (SELECT doc_id, greatest(1, length(text) // 4) AS cost FROM documents WHERE text IS NOT NULL) SELECT doc_id, cost, used FROM (SELECT *, CAST(sum(cost) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM x) WHERE used <= 52500",
 )
-_TOTAL = "SELECT o_custkey AS host, count(*) AS n_orders, count(*) FILTER (o_orderstatus = 'F') AS delta FROM orders GROUP BY 1"
-_total = lambda s, d: _read(s, d, "orders").groupBy(F.col("o_custkey").alias("host")).agg(F.count("*").alias("n_orders"), F.count_if(F.expr("o_orderstatus = 'F'")).alias("delta"))
-_add("top_delta", lambda s, d: _total(s, d).orderBy(F.desc("delta"), "host").limit(10), f"{_TOTAL} ORDER BY delta DESC, host LIMIT 10")
-_add("host_order", lambda s, d: _total(s, d).withColumn("k", F.row_number().over(Window.partitionBy(F.expr("delta = 0")).orderBy("host"))).select("host", "delta", F.expr("case when delta = 0 and k <= 3 then 0 when delta > 0 then 1 else 2 end").alias("place")), f"SELECT host, delta, CASE WHEN delta = 0 AND k <= 3 THEN 0 WHEN delta > 0 THEN 1 ELSE 2 END AS place FROM (SELECT *, row_number() OVER (PARTITION BY delta = 0 ORDER BY host) AS k FROM ({_TOTAL}))")
-_add("class_distribution", lambda s, d: _read(s, d, "orders").groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("hosts")), "SELECT o_orderpriority, count(DISTINCT o_custkey) AS hosts FROM orders GROUP BY 1")
-_add("fleet_summary", lambda s, d: _total(s, d).agg(F.count("*").alias("hosts"), F.count_if(F.expr("delta = 0")).alias("zero_delta"), F.sum("delta").alias("total_delta")), f"SELECT count(*) AS hosts, count(*) FILTER (delta = 0) AS zero_delta, CAST(sum(delta) AS BIGINT) AS total_delta FROM ({_TOTAL})")
-_add("host_meta", lambda s, d: _read(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("class_profile"), F.expr("bool_and(o_orderstatus <> 'F')").alias("is_zero_delta")), "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS class_profile, bool_and(o_orderstatus <> 'F') AS is_zero_delta FROM orders GROUP BY 1")
 _add("representatives", lambda s, d: _read(s, d, "part").withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("k <= 5").select("p_brand", "p_partkey"), "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) WHERE k <= 5")
 
 # globs, secrets, readers
@@ -201,10 +152,6 @@ def _host() -> Column:
     return F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
 
 
-def _hit() -> Column:
-    return secrets.first_match(F.col("value"), secrets.PATTERNS)
-
-
 _add(
     "glob_project",
     lambda s, d: _read(s, d, "pages").select(_host().alias("path")).distinct().join(F.broadcast(s.createDataFrame([(g, glob_regex(g)) for g in GLOBS], "pattern string, rx string")), F.expr("regexp_like(path, rx)")).select("pattern", "path"),
@@ -212,23 +159,18 @@ _add(
 )
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-
-
-_LINES = "SELECT doc_id, line - 1 AS line, value FROM (SELECT doc_id, unnest(p) AS value, generate_subscripts(p, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL))"
-_METHOD = secrets.first_match_sql("value", secrets.PATTERNS)
-_add("secret_audit", lambda s, d: _lines(s, d).select("doc_id", "line", _hit().alias("method")).where("method is not null"), f"SELECT doc_id, line, method FROM (SELECT doc_id, line, {_METHOD} AS method FROM ({_LINES})) WHERE method IS NOT NULL")
-_add("secret_mask", lambda s, d: _lines(s, d).select("doc_id", "line", secrets.mask(F.col("value")).alias("value")), f"SELECT doc_id, line, CASE WHEN {_METHOD} IS NOT NULL THEN '[REDACTED]' ELSE value END AS value FROM ({_LINES})")
-_WORDS = f"SELECT DISTINCT token FROM (SELECT unnest(string_split(text, ' ')) AS token FROM conversations) WHERE length(token) >= {secrets.LEAST_LENGTH}"
-_words = lambda s, d: _read(s, d, "conversations").select(F.explode(F.split("text", " ")).alias("token")).where(F.length("token") >= secrets.LEAST_LENGTH).distinct()
-_ENTROPY = "round(CASE WHEN length({0}) = 0 THEN 0 ELSE log2(length({0})) - list_sum(list_transform(list_distinct(string_split({0}, '')), lambda x: (length({0}) - length(replace({0}, x, ''))) * log2(length({0}) - length(replace({0}, x, ''))))) / length({0}) END, 6)"
-_add("char_entropy", lambda s, d: _read(s, d, "part").select("p_partkey", char_entropy("p_name").alias("bits")), f"SELECT p_partkey, {_ENTROPY.format('p_name')} AS bits FROM part")
-_add("false_positives", lambda s, d: _words(s, d).select("token", secrets.first_match(F.col("token"), secrets.HARMLESS).alias("rule")), f"SELECT token, {secrets.first_match_sql('token', secrets.HARMLESS)} AS rule FROM ({_WORDS})")
+_PATH, _VALUE, _METHOD = secrets.line_units_sql(duck=True)
+_UNITS = f"""WITH l AS MATERIALIZED (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+u AS MATERIALIZED (SELECT doc_id, line_no, line, path, {_METHOD} AS method FROM (SELECT *, {_PATH} AS path, {_VALUE} AS value FROM l)),
+w AS MATERIALIZED (SELECT doc_id, line_no, path, unnest(string_split(line, ' ')) AS t, generate_subscripts(string_split(line, ' '), 1) - 1 AS word_no FROM u WHERE method IS NULL),
+m AS MATERIALIZED (SELECT doc_id, line_no, word_no, t, CASE WHEN length(t) >= {secrets.LEAST_LENGTH} THEN {secrets.detect_sql('t', 'path', duck=True)} END AS method FROM w)"""
+_add("secret_audit", lambda s, d: secrets.audit_lines(_read(s, d, "documents"), "doc_id"), f"{_UNITS} SELECT doc_id, line_no, -1 AS word_no, method FROM u WHERE method IS NOT NULL UNION ALL SELECT doc_id, line_no, word_no, method FROM m WHERE method IS NOT NULL")
+_add("secret_mask", lambda s, d: secrets.mask_lines(_read(s, d, "documents"), "doc_id"), f"{_UNITS} SELECT doc_id, line_no, '{secrets.REDACTED}' AS line FROM u WHERE method IS NOT NULL UNION ALL SELECT doc_id, line_no, string_agg(CASE WHEN method IS NULL THEN t ELSE '{secrets.REDACTED}' END, ' ' ORDER BY word_no) AS line FROM m GROUP BY 1, 2")
+_WORDS = f"SELECT DISTINCT token FROM (SELECT unnest(string_split(text, ' ')) AS token FROM conversations) "
+_words = lambda s, d: _read(s, d, "conversations").select(F.explode(F.split("text", " ")).alias("token")).distinct()
+_add("char_entropy", lambda s, d: _read(s, d, "part").select("p_partkey", char_entropy("p_name").alias("bits")), f"SELECT p_partkey, {entropy_sql('p_name', duck=True)} AS bits FROM part")
+_add("false_positives", lambda s, d: _words(s, d).select("token", F.expr(secrets.first_sql("token", secrets.HARMLESS)).alias("rule")), f"SELECT token, {secrets.first_sql('token', secrets.HARMLESS, duck=True)} AS rule FROM ({_WORDS})")
 _add("detect_format", lambda s, d: _read(s, d, "pages").select("page_id", readers.format_of(F.col("url")).alias("format")), "SELECT page_id, CASE WHEN x = 'json' THEN 'json' WHEN x IN ('ini', 'cfg', 'conf', 'cnf', 'properties') THEN 'ini' WHEN x = 'xml' THEN 'xml' ELSE 'yaml' END AS format FROM (SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS x FROM pages)")
-_add("json_flatten", lambda s, d: readers.json_leaves(_read(s, d, "events"), "event_id", "props"), "SELECT CAST(event_id AS VARCHAR) AS entity_id, k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE props IS NOT NULL)")
-_add("json_leaf_count", lambda s, d: readers.json_leaves(_read(s, d, "events"), "event_id", "props").agg(F.count("*").alias("n_leaves")), "SELECT CAST(sum(len(json_keys(props))) AS BIGINT) AS n_leaves FROM events WHERE props IS NOT NULL")
-_add("map_inner_template", lambda s, d: _read(s, d, "events").select("event_type", F.get_json_object("props", "$.k").alias("value")).groupBy("event_type", "value").count().withColumn("rn", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("count"), "value"))).where("rn = 1").select("event_type", "value", F.col("count").alias("n")), "WITH x AS (SELECT event_type, json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, value, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, value) AS rn FROM x) WHERE rn = 1")
 _INI = "concat('[brand]\nname = ', p_brand, '\n; note\nsize=', p_size, '\n[kind]\nType = ', p_type)"
 _add("ini_parse", lambda s, d: readers.ini_leaves(_read(s, d, "part").select(F.col("p_partkey").cast("string").alias("entity_id"), F.expr(_INI).alias("text"))), "SELECT CAST(p_partkey AS VARCHAR) AS entity_id, unnest(['brand.name', 'brand.size', 'kind.type']) AS path, unnest([trim(p_brand), CAST(p_size AS VARCHAR), trim(p_type)]) AS value, unnest(['string', 'number', 'string']) AS value_type FROM part")
 _XML = "concat('<part id=\"', p_partkey, '\"><size>', p_size, '</size><size>', p_size + 1, '</size></part>')"
@@ -238,13 +180,13 @@ _add("config_parse", lambda s, d: readers.parsed_leaves(_read(s, d, "supplier").
 
 # lists, pivots, questions, statistics
 _add("list_rebuild", lambda s, d: _read(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"), F.count("*").alias("n")), "SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS roles, count(*) AS n FROM conversations GROUP BY 1")
-_add("list_class", lambda s, d: _read(s, d, "conversations").groupBy("role").agg(F.count("*").alias("instances"), F.countDistinct("conv_id").alias("hosts")).where("instances >= 3"), "SELECT role, count(*) AS instances, count(DISTINCT conv_id) AS hosts FROM conversations GROUP BY 1 HAVING count(*) >= 3")
 _add("phone_book", lambda s, d: _leaves(s, d, "part").groupBy("entity_id").pivot("path", ["p_brand", "p_size", "p_type"]).agg(F.first("value")), "SELECT CAST(p_partkey AS VARCHAR) AS entity_id, p_brand, CAST(p_size AS VARCHAR) AS p_size, p_type FROM part")
-_add("qa_value_groups", lambda s, d: serve.value_groups(_leaves(s, d, "part")), f"WITH l AS ({_leaves_sql('part')}), z AS (SELECT count(DISTINCT entity_id) AS total FROM l) SELECT section, path, value, count(*) AS n, min(entity_id) AS first_id, max(entity_id) AS last_id FROM l CROSS JOIN z GROUP BY section, path, value, total HAVING count(*) >= 2 AND count(*) < total")
-_add("qa_comparison", lambda s, d: _leaves(s, d, "part").groupBy("path").agg(F.countDistinct("value").alias("d")).select("path", F.expr("d = 1").alias("all_same")), f"WITH l AS ({_leaves_sql('part')}) SELECT path, count(DISTINCT value) = 1 AS all_same FROM l GROUP BY 1")
-_add("qa_prefix_count", lambda s, d: _read(s, d, "pages").groupBy(F.split(_host(), r"\.")[0].alias("prefix")).agg(F.countDistinct(_host()).alias("n")), "SELECT string_split(h, '.')[1] AS prefix, count(DISTINCT h) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS h FROM pages) GROUP BY 1")
-_add("qa_ordering", lambda s, d: _read(s, d, "conversations").select("conv_id", "turn", "role", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn", "role")).alias("next_role")), "SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS next_role FROM conversations")
+_add("qa_value_groups", lambda s, d: serve.value_groups(_leaves(s, d, "part")), f"WITH l AS ({_leaves_sql('part')}), z AS (SELECT count(DISTINCT entity_id) AS total FROM l) SELECT section, path, value, count(*) AS n, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS ids FROM l CROSS JOIN z GROUP BY section, path, value, total HAVING count(*) >= 2 AND count(*) < total")
 _add("stratified_sample", lambda s, d: _read(s, d, "part").withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.md5(F.col("p_partkey").cast("string"))))).where("k <= 3").select("p_brand", "p_partkey"), "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5(CAST(p_partkey AS VARCHAR))) AS k FROM part) WHERE k <= 3")
 _add("stats_by_section", lambda s, d: _read(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.sum(tokens(F.col("text"))).alias("tokens")), "SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM documents GROUP BY 1")
-_add("accuracy_rollup", lambda s, d: _read(s, d, "labels").rollup("quality").agg(F.round(F.avg("toxic"), 6).alias("score"), F.count("*").alias("n")), "SELECT quality, round(avg(toxic), 6) AS score, count(*) AS n FROM labels GROUP BY ROLLUP (quality)")
 _add("content_hash", lambda s, d: _leaves(s, d, "part").select("entity_id", "path", F.sha2("value", 256).alias("hash")), f"SELECT entity_id, path, sha256(value) AS hash FROM ({_leaves_sql('part')})")
+
+from fleetweave.plans import fleet_queries  # noqa: E402  (registers its queries with the ones above)
+
+QUERIES |= fleet_queries.QUERIES
+ORACLES |= fleet_queries.ORACLES

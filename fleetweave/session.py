@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -22,3 +22,19 @@ def ship(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp()  # the driver's; Spark's file server hands the archive out
     context.addPyFile(shutil.make_archive(f"{folder}/fleetweave", "zip", ROOT, "fleetweave"))
     _shipped.add(context.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder of spark.checkpoint.dir, so that loops keep a short lineage.
+
+    Where that setting is absent (as in tests) a local folder serves, which is right on one machine only.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
+            folder = "file://" + tempfile.mkdtemp(prefix="fleetweave-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from fleetweave.session import ship
 
 
+Batches = Iterator[pa.RecordBatch]
+Mapper = Callable[[Batches], Batches]
+
 #: bytes of texts that go to Python at once, where the session names no other size
 BATCH_BYTES = 8 << 20
 
@@ -89,6 +92,12 @@ def pack(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns))).alias("row"))
 
 
+def filtered(df: DataFrame, run: Mapper) -> DataFrame:
+    """The rows that an Arrow mapper keeps. It sees the columns as c0, c1 and so on, whatever their names."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*df.columns)
+
+
 def unpack(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))
 
@@ -189,9 +198,6 @@ def components(ws: Workspace, edges: DataFrame, name: str, keep: bool = False) -
         now = new
 
 
-Batches = Iterator[pa.RecordBatch]
-Mapper = Callable[[Batches], Batches]
-
 _libc = None
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetweave.llm._spark import Batches, Workspace, if_small, pack, sorted_groups, tidy, unpack
+from fleetweave.llm._spark import Batches, Workspace, filtered, if_small, pack, sorted_groups, tidy, unpack
 from fleetweave.llm._text import groups, mix, ngrams, words
 
 MASKS = ("11101101", "1101001011", "10110010101", "1100110011")
@@ -206,7 +206,7 @@ def without(docs: DataFrame, benchmark: DataFrame, masks=MASKS, slice_chars: int
             bad = {r[0] for r in scan(b.column(at).to_pylist(), sent.value, **limits)}
             yield b.filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return filtered(docs, run)
 
 
 def _bit(h: np.ndarray, bits: int) -> np.ndarray:

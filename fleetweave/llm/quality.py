@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm._spark import Batches, tidy
+from fleetweave.llm._spark import Batches, filtered, tidy
 from fleetweave.llm._text import groups, ngrams, words
 
 BITS = 20
@@ -162,7 +162,7 @@ def quality_filter(docs: DataFrame, weights: np.ndarray, least_quality: float =
         for b in batches:
             yield b.filter(judge(b.column(at).to_pylist(), w, least_quality, most_toxic, bits)[2])
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return filtered(docs, run)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -670,5 +671,84 @@ def test_pipeline_on_planted_documents(spark):
     assert corpus_pipeline.run(spark, SF).where("not round_trip").count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The rows of run() on a made-up corpus, from plain definitions of its five stages."""
+    import corpus_pipeline
+
+    rng = random.Random(30)
+    good = lambda n: "good report about " + sentence(rng, n, 10**6)
+    rows, n = [], itertools.count()
+    for _ in range(40):
+        rows.append((next(n), good(120)))
+    shared = sentence(rng, 60, 10**6)
+    for k in range(4):  # copies of the first four, a few words changed
+        w = rows[k][1].split()
+        w[50], w[90] = "changed", "again"
+        rows.append((next(n), " ".join(w)))
+    rows.append((next(n), rows[5][1]))
+    rows += [(next(n), f"{good(70)} {shared} {sentence(rng, 70, 10**6)}") for _ in range(5)]
+    items = [(1, sentence(rng, 25, 10**6)), (2, sentence(rng, 6, 10**6)), (3, None)]
+    for _, t in items[:2]:
+        rows.append((next(n), f"{good(40)} {t} {sentence(rng, 40, 10**6)}"))
+    bad = {next(n): "buy now cheap " + sentence(rng, 120, 10**6) for _ in range(40)}
+    labels = [(d, 1, 0) for d, _ in rows] + [(d, 0, 1) for d in bad] + [(None, 1, 0), (10**6, 0, 1), (0, None, None)]
+    extra = [(next(n), None), (next(n), ""), (None, good(100)), (0, rows[0][1])]
+    docs = frame(spark, [*rows, *bad.items(), *extra]).withColumn("keep", F.lit("k")).withColumn("row", F.lit(1)).withColumn("node", F.lit(2)).withColumn("a`b", F.lit(3))
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    # a row without text is dropped by the classifier; empty texts and the one without an id are judged by it like others
+    scored = {(r.doc_id, r.keep) for r in quality.classify(spark, docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert all((d, False) in scored for d in bad) and all((d, True) in scored for d, _ in rows)
+    now = [x for x in [*rows, extra[2], extra[3]] if x[1]] + ([extra[1]] if (extra[1][0], True) in scored else [])
+    sh = lambda t: {tuple(w[i : i + 3]) for w in [t.lower().split()] for i in range(max(1, len(w) - 2))}
+    kept: list[tuple] = []
+    for d, t in sorted(now, key=lambda x: (x[0] is None, x[0])):
+        if d is None or not t or all(len(sh(t) & sh(u)) < 0.5 * len(sh(t) | sh(u)) for e, u in kept if e is not None and u):
+            kept.append((d, t))
+    first = min(d for d, t in kept if d is not None and shared in t)
+    cut = [(d, t if d is None or d == first or shared not in t else re.sub(r"\s+", " ", t.replace(shared, " ")).strip()) for d, t in kept]
+    leaks = {i for i, _ in brute_overlaps([t for _, t in cut], [t for _, t in items])}
+    want = sorted(((d, t) for i, (d, t) in enumerate(cut) if i not in leaks), key=str)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.collect()
+    c = bpe.codec()
+    assert sorted(((r.doc_id, tuple(r.ids)) for r in got), key=str) == sorted(((d, tuple(c.inner.encode_ordinary(t))) for d, t in want), key=str)
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got) and len(leaks) == 2 and len(got) == 40 + 5 + 1 + ((extra[1][0], True) in scored)
+
+
+def test_awkward_values(spark, tables):
+    """What nulls, empty, repeated and very long texts give, row by row."""
+    docs = frame(spark, AWKWARD)
+    key = lambda rows: sorted(rows, key=str)
+    bands = [(r.doc_id, r.n_bytes, r.reason, r.keep) for r in compress_bands.compression_bands(docs).collect()]
+    assert key(bands)[:2] == key(bands[:9])[:2] and (1, None, "no text", False) in bands and (2, 0, None, True) in bands and (6, 70000, "repetitive", False) in bands and bands.count((5, 200, "repetitive", False)) == 2
+    lm = [(r.doc_id, r.n_words, r.log_prob, r.mean_log_prob) for r in lm_automaton.score(docs).collect()]
+    assert (1, None, None, None) in lm and (2, 0, 0.0, None) in lm and (3, 0, 0.0, None) in lm and sum(x[0] is None and x[1] == 20 and x[2] < 0 for x in lm) == 1
+    assert len({x for x in lm if x[0] == 5}) == 1 and sum(x[0] == 5 for x in lm) == 2
+    q = [(r.doc_id, r.quality is None, r.keep) for r in quality.classify(spark, docs, tables["labels"]).collect()]
+    assert (1, True, False) in q and len(q) == 9 and sum(x[1] for x in q) == 1
+    none = [(r.quality, r.toxicity, r.keep) for r in quality.classify(spark, docs, tables["labels"].limit(0)).where("doc_id = 4").collect()]
+    assert none == [(0.5, pytest.approx(0, abs=1e-9), True)]
+    near = Counter((r.doc_id, r.group_id, r.keep) for r in superminhash.near_duplicates(docs).collect())
+    assert near == {(1, None, True): 1, (2, None, True): 1, (3, None, True): 1, (None, None, True): 1, (4, None, True): 1, (5, 5, True): 1, (5, 5, False): 1, (6, None, True): 1, (7, None, True): 1}
+    coded = {r.doc_id: r for r in bpe.encode_documents(docs).collect()}
+    assert coded[1].ids is None and coded[1].n_tokens is None and list(coded[2].ids) == [] and coded[6].n_bytes == 70000
+    pages = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "<p>x")], "page_id long, html string")
+    assert key((r.page_id, r.n_lines, r.text) for r in html_blocks.extract(pages).collect()) == key([(1, 0, None), (2, 1, ""), (2, 1, ""), (None, 2, "")])
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, tables):
+    from fleetweave.llm._spark import clean
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    superminhash.near_duplicates(tables["documents"]).count()
+    substring.without_repeats(tables["documents"]).count()
+    assert [x for x in os.listdir(root) if x.startswith("fleetweave-")]
+    clean(spark)
+    assert not [x for x in os.listdir(root) if x.startswith("fleetweave-")]
+
+
 def test_every_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))

@@ -6,14 +6,17 @@ failure arc to the context without its first word. Single words are smoothed add
 traversal never ends. One pass from left to right carries the state and adds up log-probabilities.
 
 The model grows with the corpus and is never in one place. Documents meet in blocks. A block counts its own distinct
-n-grams and sends them, packed by the hash of their context, one row a partition; there counts of all blocks are
-added, contexts are complete, and each block gets back the figures of its own n-grams. From these a block builds the
+words and pairs and sends them, packed by the hash of their context, one row a partition; there counts of all blocks
+are added, contexts are complete, and each block gets back the figures of its own n-grams. Longer n-grams follow order
+by order: one can only be kept if what it is without its first or its last word is, so a block sends no others, and how
+often a context is followed by anything is its count less the times it ends a text. From the figures a block builds the
 part of the automaton that its documents can reach, and walks it with all documents side by side. What is exchanged
-is the documents once and the blocks' distinct n-grams twice.
+is the documents once, compressed, and the blocks' distinct n-grams as far as they may be kept, there and back.
 
 Defined cases: a null text has null figures; a text without words has no words, log_prob 0 and a null mean; words are
 those of ``_text.words`` and n-grams don't cross documents; the first word is read from the state without context;
-repeated rows count and are scored each; an empty table gives no rows; other columns are ignored, doc_id may be null.
+repeated rows count and are scored each; a very long text is walked in strips; an empty table gives no rows; other
+columns, whatever their names, are ignored, and doc_id may be null.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetweave.llm._spark import tidy
 from fleetweave.llm._text import groups, mix, words
 
-ORDER, LEAST_COUNT, DISCOUNT, ADDED = 2, 2, 0.75, 0.5
+ORDER, LEAST_COUNT, DISCOUNT, ADDED = 3, 2, 0.75, 0.5
 #: characters of a block at least and at most; between them a corpus has BLOCKS blocks, for rows grow with their square
 BLOCK_CHARS, MOST_BLOCK_CHARS, BLOCKS = 16_000_000, 256_000_000, 2000
 #: words that are walked in one go; the next strip starts with the context it needs
@@ -61,6 +67,8 @@ class Grams:
         self.hash = [self.words]
         #: for each n-gram, the number of that without its first word
         self.suffix: list[np.ndarray] = [np.zeros(len(self.words), np.int64)]
+        #: how often each n-gram ends a text
+        self.ends: list[np.ndarray] = [np.zeros(len(self.words), np.int64)]
         number, alive = self.seq, np.arange(len(h))  # n-gram numbers by first word
         left = np.repeat(self.ptr[1:], np.diff(self.ptr)) - alive  # words from here to the end of the text
         for n in range(2, order + 1):
@@ -75,8 +83,9 @@ class Grams:
                 self.hash.append(mix(self.hash[-1][keys // n_words] * _MULT + self.words[keys % n_words]))
             if n == 2:
                 self.suffix.append(keys % n_words)
+            mine = np.searchsorted(keys, key)
+            self.ends.append(np.bincount(mine[left[alive] == n], minlength=len(keys)))
             if n < order or n > 2:
-                mine = np.searchsorted(keys, key)
                 if n > 2:
                     suffix = np.zeros(len(keys), np.int64)
                     suffix[mine] = number[alive + 1]
@@ -90,18 +99,24 @@ class Grams:
         first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
         return c[first], np.diff(np.append(first, len(c)))
 
-    def layout(self, parts: int) -> list[tuple]:
-        """By order, what goes where: (order of rows by part, their bounds[, contexts, runs, order of contexts, bounds])."""
-        out = []
-        for n in range(1, len(self.keys) + 1):
-            if n == 1:
-                out.append(_by_part(self.words, parts))
-            else:
-                c, runs = self.contexts(n)
-                at, bounds = _by_part(self.hash[n - 2][c], parts)
-                rows, row_bounds = _by_part(np.repeat(self.hash[n - 2][c], runs), parts)
-                out.append((rows, row_bounds, c, runs, at, bounds))
-        return out
+    def last_words(self, n: int) -> np.ndarray:
+        """Five bytes of the hash of each n-gram's last word: enough to tell words behind one context apart."""
+        return self.words.view(np.uint8).reshape(-1, 8)[:, 3:][self.keys[n - 1] % max(1, len(self.words))]
+
+    def layout(self, n: int, parts: int, some: np.ndarray | None = None, heads: np.ndarray | None = None) -> tuple:
+        """What of order n goes where: (rows by part, their bounds, contexts, runs, contexts by part, their bounds).
+
+        ``some`` marks the n-grams that go, ``heads`` the contexts; without them all do.
+        """
+        c, runs = self.contexts(n)
+        own = self.keys[n - 1] // max(1, len(self.words))
+        rows = np.arange(len(own)) if some is None else np.flatnonzero(some)
+        if heads is not None:
+            runs = np.bincount(np.searchsorted(c, own[rows]), minlength=len(c))[heads[c]] if len(c) else runs
+            c = c[heads[c]]
+        at, bounds = _by_part(self.hash[n - 2][c], parts)
+        by, row_bounds = _by_part(self.hash[n - 2][own[rows]], parts)
+        return rows[by], row_bounds, c, runs, at, bounds
 
 
 def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,67 +125,135 @@ def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.searchsorted(part[at], np.arange(parts + 1))
 
 
-def _count(order: int, parts: int):
+def _small(x: np.ndarray) -> bytes:
+    """Counts, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<i8").tobytes())
+
+
+def _large(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64)
+
+
+def _pack(n: int, ids: np.ndarray):
+    """(block, documents): the documents of a batch by block, compressed."""
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for b in batches:
+            at = np.array([xxhash.xxh3_64_intdigest(f"{d}|{t}".encode("utf-8", "surrogatepass")) % n for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.int64)
+            order = np.argsort(at, kind="stable")
+            blocks, first = np.unique(at[order], return_index=True)
+            out = []
+            for rows in np.split(order, first[1:]) if len(order) else ():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=options) as w:
+                    w.write_batch(b.take(pa.array(rows)))
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[blocks], pa.int32()), pa.array(out, pa.binary())], ["block", "docs"])
+
+    return run
+
+
+def _docs(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(x.as_py()).read_all() for x in rows.column("docs"))
+
+
+def _texts(rows: pa.Table) -> list[str]:
+    return _docs(rows).column("text").to_pylist()
+
+
+def _gram_data(g: Grams, n: int, lay: tuple, p: int) -> list[bytes]:
+    at, b, c, runs, cat, cb = lay
+    mine, ctx = at[b[p] : b[p + 1]], cat[cb[p] : cb[p + 1]]
+    return [g.hash[n - 2][c[ctx]].tobytes(), _small(runs[ctx]), g.last_words(n)[mine].tobytes(), _small(g.counts[n - 1][mine]), _small(g.ends[n - 1][mine])]
+
+
+def _sent(docs: pa.Table, rows: list, ids: np.ndarray) -> pa.Table:
+    """A row for each part, even if nothing goes there: the answer brings that part's totals."""
+    block = docs.column("block")[0].as_py()
+    return pa.table({"part": pa.array(ids, pa.int32()), "block": pa.array([block] * len(ids), pa.int32()), "data": pa.array(rows, pa.list_(pa.binary()))})
+
+
+def _count(order: int, ids: np.ndarray):
+    """Words and pairs."""
+
     def run(docs: pa.Table) -> pa.Table:
-        """A row for each part, even if nothing goes there: the answer brings that part's totals."""
-        g = Grams(docs.column("text").to_pylist(), order)
-        lay = g.layout(parts)
-        rows = []
-        for p in range(parts):
-            at, b = lay[0]
-            mine = at[b[p] : b[p + 1]]
-            data = [g.words[mine].tobytes(), g.counts[0][mine].astype(np.uint32).tobytes()]
-            for n in range(2, order + 1):
-                at, b, c, runs, cat, cb = lay[n - 1]
-                mine, ctx = at[b[p] : b[p + 1]], cat[cb[p] : cb[p + 1]]
-                data += [g.hash[n - 2][c[ctx]].tobytes(), runs[ctx].astype(np.uint32).tobytes(), g.hash[n - 1][mine].tobytes(), g.counts[n - 1][mine].astype(np.uint32).tobytes()]
-            rows.append(data)
-        block = docs.column("block")[0].as_py()
-        return pa.table({"part": pa.array(range(parts), pa.int32()), "block": pa.array([block] * parts, pa.int32()), "data": pa.array(rows, pa.list_(pa.binary()))})
+        g = Grams(_texts(docs), min(2, order))
+        at, b = _by_part(g.words, len(ids))
+        rows = [[g.words[at[b[p] : b[p + 1]]].tobytes(), _small(g.counts[0][at[b[p] : b[p + 1]]])] for p in range(len(ids))]
+        if order > 1:
+            lay = g.layout(2, len(ids))
+            for p, r in enumerate(rows):
+                r += _gram_data(g, 2, lay, p)
+        return _sent(docs, rows, ids)
+
+    return run
+
+
+def _candidates(g: Grams, n: int, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams that may be kept, (n - 1)-grams that are): both parts of an n-gram must be."""
+    heads = kept > 0
+    return heads[g.keys[n - 1] // max(1, len(g.words))] & heads[g.suffix[n - 1]], heads
+
+
+def _count_next(n: int, ids: np.ndarray):
+    """The n-grams that may be kept, once those of n - 1 words are known."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        g = Grams(_texts(docs), n)
+        found, *_ = figures_of(g, n - 1, len(ids), _by_stage(answers, ids))
+        lay = g.layout(n, len(ids), *_candidates(g, n, found[n - 2][0]))
+        return _sent(docs, [_gram_data(g, n, lay, p) for p in range(len(ids))], ids)
 
     return run
 
 
-def _join(rows: list, k: int, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The k-th array of all rows, one after the other, and the bounds."""
-    got = [np.frombuffer(r[k], kind) for r in rows]
-    return np.concatenate(got), np.concatenate(([0], np.cumsum([len(x) for x in got])))
+def _join(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays one after the other, and the bounds."""
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+
+def _added(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.bincount(codes, weights=counts, minlength=int(codes.max()) + 1 if len(codes) else 0).astype(np.int64)
 
 
-def _added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of each, sums by number)."""
-    codes, seen = pd.factorize(hashes)
-    total = np.zeros(len(seen), np.int64)
-    np.add.at(total, codes, counts.astype(np.int64))
-    return codes, total
+def _grams_answer(data: list, k: int, least_count: int, out: list[list[bytes]]) -> None:
+    """Adds to each block's row: kept counts (0 for others), their ends, and (count, kept count, kept n-grams) of its contexts."""
+    ctx, ctx_at = _join([np.frombuffer(r[k], np.uint64) for r in data])
+    runs = np.concatenate([_large(r[k + 1]) for r in data])
+    words_, g_at = _join([np.frombuffer(r[k + 2], np.uint8).reshape(-1, 5) for r in data])
+    counts, ends = (np.concatenate([_large(r[j]) for r in data]) for j in (k + 3, k + 4))
+    last = np.zeros((len(words_), 8), np.uint8)
+    last[:, :5] = words_
+    with np.errstate(over="ignore"):
+        codes, seen = pd.factorize(mix(np.repeat(ctx, runs) * _MULT + last.reshape(-1).view(np.uint64)))
+    total = _added(codes, counts)
+    ctx_codes, ctx_seen = pd.factorize(ctx)
+    owner = np.zeros(len(seen), np.int64)
+    owner[codes] = np.repeat(ctx_codes, runs)
+    kept = np.where(total >= least_count, total, 0)
+    sums = np.zeros((len(ctx_seen), 3), np.int64)
+    for j, v in enumerate((total, kept, (kept > 0).astype(np.int64))):
+        np.add.at(sums[:, j], owner, v)
+    mine, last_, own = kept[codes], np.where(kept > 0, _added(codes, ends), 0)[codes], sums[ctx_codes]
+    for o, a, b, c, d in zip(out, g_at[:-1], g_at[1:], ctx_at[:-1], ctx_at[1:]):
+        o += [_small(mine[a:b]), _small(last_[a:b]), _small(own[c:d].reshape(-1))]
 
 
-def _answer(order: int, least_count: int):
+def _answer(order: int, least_count: int, stage: int):
     def run(rows: pa.Table) -> pa.Table:
-        """Word counts, counts of kept n-grams (0 for others) and (count, kept count, kept n-grams) of contexts, for each block."""
         data = rows.column("data").to_pylist()
-        h, at = _join(data, 0, np.uint64)
-        codes, total = _added(h, _join(data, 1, np.uint32)[0])
-        mine = total[codes]
-        whole = np.array([total.sum(), len(total)], np.int64).tobytes()
-        out = [[whole, mine[a:b].tobytes()] for a, b in zip(at[:-1], at[1:])]
-        for n in range(2, order + 1):
-            k = 4 * n - 6
-            ctx, ctx_at = _join(data, k, np.uint64)
-            runs, _ = _join(data, k + 1, np.uint32)
-            g, g_at = _join(data, k + 2, np.uint64)
-            codes, total = _added(g, _join(data, k + 3, np.uint32)[0])
-            ctx_codes, ctx_seen = pd.factorize(ctx)
-            owner = np.zeros(len(total), np.int64)
-            owner[codes] = np.repeat(ctx_codes, runs)
-            kept = np.where(total >= least_count, total, 0)
-            sums = np.zeros((len(ctx_seen), 3), np.int64)
-            for j, v in enumerate((total, kept, (kept > 0).astype(np.int64))):
-                np.add.at(sums[:, j], owner, v)
-            mine, own = kept[codes], sums[ctx_codes]
-            for o, a, b, c, d in zip(out, g_at[:-1], g_at[1:], ctx_at[:-1], ctx_at[1:]):
-                o += [mine[a:b].tobytes(), own[c:d].tobytes()]
-        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "data": pa.array(out, pa.list_(pa.binary()))})
+        out: list[list[bytes]] = [[] for _ in data]
+        if stage == 2:
+            h, at = _join([np.frombuffer(r[0], np.uint64) for r in data])
+            codes, _ = pd.factorize(h)
+            total = _added(codes, np.concatenate([_large(r[1]) for r in data]))
+            whole = np.array([total.sum(), len(total)], np.int64).tobytes()
+            mine = total[codes]
+            out = [[whole, _small(mine[a:b])] for a, b in zip(at[:-1], at[1:])]
+        if order > 1:
+            _grams_answer(data, 2 if stage == 2 else 0, least_count, out)
+        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "stage": pa.array([stage] * len(out), pa.int32()), "data": pa.array(out, pa.list_(pa.binary()))})
 
     return run
 
@@ -248,29 +331,46 @@ class Automaton:
         return np.bincount(owner, weights=back, minlength=len(size)) if len(owner) else np.zeros(len(size))
 
 
-def figures_of(g: Grams, parts: int, rows: list[list[bytes]]) -> tuple[list[tuple[np.ndarray, ...]], int, int]:
-    """The answers of all parts, put in the block's own order, and the corpus totals."""
-    lay = g.layout(parts)
+def _by_stage(answers: pa.Table, ids: np.ndarray) -> dict[int, list[list[bytes]]]:
+    """The data of each stage, in the order of the parts."""
+    place = {int(x): k for k, x in enumerate(ids)}
+    out: dict[int, list] = {}
+    for part, stage, data in zip(*(answers.column(c).to_pylist() for c in ("part", "stage", "data"))):
+        out.setdefault(stage, [None] * len(ids))[place[part]] = data
+    return out
+
+
+def figures_of(g: Grams, order: int, parts: int, stages: dict[int, list[list[bytes]]]) -> tuple[list[tuple[np.ndarray, ...]], int, int]:
+    """The answers of all parts, put in the block's own order, and the corpus totals.
+
+    The first figures are (counts,) of words; then come (kept counts, contexts, their sums, ends) by order.
+    """
+    rows = stages[2]
     totals = np.sum([np.frombuffer(r[0], np.int64) for r in rows], axis=0)
     counts = np.empty(len(g.words), np.int64)
-    counts[lay[0][0]] = _join(rows, 1, np.int64)[0]
+    counts[_by_part(g.words, parts)[0]] = np.concatenate([_large(r[1]) for r in rows])
     out: list[tuple[np.ndarray, ...]] = [(counts,)]
-    for n in range(2, len(g.keys) + 1):
-        at, _, c, _, cat, _ = lay[n - 1]
-        kept = np.empty(len(at), np.int64)
-        kept[at] = _join(rows, 2 * n - 2, np.int64)[0]
+    for n in range(2, order + 1):
+        rows, k = stages[n], 2 if n == 2 else 0
+        lay = g.layout(n, parts) if n == 2 else g.layout(n, parts, *_candidates(g, n, out[n - 2][0]))
+        at, _, c, _, cat, _ = lay
+        kept, ends = np.zeros(len(g.keys[n - 1]), np.int64), np.zeros(len(g.keys[n - 1]), np.int64)
+        kept[at] = np.concatenate([_large(r[k]) for r in rows])
+        ends[at] = np.concatenate([_large(r[k + 1]) for r in rows])
         sums = np.empty((len(c), 3), np.int64)
-        sums[cat] = _join(rows, 2 * n - 1, np.int64)[0].reshape(-1, 3)
-        out.append((kept, c, sums))
+        sums[cat] = np.concatenate([_large(r[k + 2]) for r in rows]).reshape(-1, 3)
+        if n > 2:
+            sums[:, 0] = out[n - 2][0][c] - out[n - 2][3][c]
+        out.append((kept, c, sums, ends))
     return out, int(totals[0]), int(totals[1])
 
 
-def _score(order: int, parts: int, discount: float, added: float):
+def _score(order: int, ids: np.ndarray, discount: float, added: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _docs(docs)
         g = Grams(docs.column("text").to_pylist(), order)
-        rows = answers.sort_by("part").column("data").to_pylist()
-        found, n_tokens, n_distinct = figures_of(g, parts, rows)
-        log = Automaton(g, found, n_tokens, n_distinct, discount, added).walk(g.seq, g.ptr, order)
+        found, n_tokens, n_distinct = figures_of(g, order, len(ids), _by_stage(answers, ids))
+        log = Automaton(g, [f[:3] for f in found], n_tokens, n_distinct, discount, added).walk(g.seq, g.ptr, order)
         n = np.diff(g.ptr)
         mean = np.divide(log, n, out=np.zeros(len(n)), where=n > 0)
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_prob": pa.array(log), "mean_log_prob": pa.array(mean, mask=n == 0)})
@@ -282,37 +382,60 @@ def n_blocks(chars: int, least: int = BLOCK_CHARS, most: int = MOST_BLOCK_CHARS,
     return max(1, math.ceil(chars / min(most, max(least, chars / blocks))))
 
 
+def spread_ids(docs: DataFrame, n: int) -> np.ndarray:
+    """n numbers whose hashes fall into n partitions, one in each, so that every task of an exchange gets one block."""
+    most = n * (math.ceil(math.log(n + 1)) + 12)
+    while True:
+        some = docs.sparkSession.range(most).selectExpr("cast(id as int) id").groupBy(F.expr(f"pmod(hash(id), {n})").alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()
+        if len(some) == n:
+            return np.array([r.id for r in some], np.int64)
+        most *= 2
+
+
 def score(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT, discount: float = DISCOUNT, added: float = ADDED, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob) of each document under the model of all documents; natural logarithms."""
-    if order < 1 or not 0 <= discount < 1 or discount >= least_count:
-        raise ValueError("the order is 1 at least, the discount below 1 and below least_count")
+    if order < 1 or least_count < 2 or not 0 <= discount < 1:
+        raise ValueError("the order is 1 at least, least_count 2 at least and the discount below 1")
     base = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars = base.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = n_blocks(chars, block_chars)
-    some = base.where("text is not null").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
-    sent = some.groupBy("block").applyInArrow(_count(order, n), "part int, block int, data array<binary>")
-    answers = sent.repartition(n, "part").groupBy("part").applyInArrow(_answer(order, least_count), "block int, part int, data array<binary>")
-    scored = some.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, n, discount, added), SCHEMA)
+    ids = spread_ids(docs, n)
+    some = base.where("text is not null").mapInArrow(tidy(_pack(n, ids)), "block int, docs binary").repartition(n, "block")
+    kinds = "block int, part int, stage int, data array<binary>"
+
+    def answered(sent: DataFrame, stage: int) -> DataFrame:
+        return sent.repartition(n, "part").groupBy("part").applyInArrow(_answer(order, least_count, stage), kinds).repartition(n, "block")
+
+    answers = answered(some.groupBy("block").applyInArrow(_count(order, ids), "part int, block int, data array<binary>"), 2)
+    for k in range(3, order + 1):
+        more = some.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_count_next(k, ids), "part int, block int, data array<binary>")
+        answers = answers.unionByName(answered(more, k)).repartition(n, "block")
+    scored = some.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, ids, discount, added), SCHEMA)
     empty = base.where("text is null").selectExpr("doc_id", "cast(null as long) n_words", "cast(null as double) log_prob", "cast(null as double) mean_log_prob")
     return scored.unionByName(empty).select("doc_id", "n_words", F.round("log_prob", 6).alias("log_prob"), F.round("mean_log_prob", 6).alias("mean_log_prob"))
 
 
 def sql(table: str = "documents") -> str:
-    """The bigram automaton in DuckDB: the probability that a walk adds up at each word."""
-    if ORDER != 2:
-        raise ValueError("the SQL is that of order 2")
+    """The trigram automaton in DuckDB: the probability that a walk adds up at each word."""
+    if ORDER != 3:
+        raise ValueError("the SQL is that of order 3")
     d, a = f"{DISCOUNT}::DOUBLE", f"{ADDED}::DOUBLE"
+    mass = f"1 - (sum(CASE WHEN c >= {LEAST_COUNT} THEN c ELSE 0 END) - {d} * count(*) FILTER (c >= {LEAST_COUNT})) / sum(c) AS mass"
     return rf"""
 WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, text FROM {table}),
 split AS MATERIALIZED (SELECT r, doc_id, text IS NULL AS gone, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS p FROM rows_),
 tok AS MATERIALIZED (SELECT r, unnest(p) AS w0, generate_subscripts(p, 1) AS pos FROM split),
-seq AS MATERIALIZED (SELECT r, pos, lower(w0) AS w, lag(lower(w0)) OVER (PARTITION BY r ORDER BY pos) AS h FROM tok),
+seq AS MATERIALIZED (SELECT r, pos, lower(w0) AS w, lag(lower(w0)) OVER (PARTITION BY r ORDER BY pos) AS h, lag(lower(w0), 2) OVER (PARTITION BY r ORDER BY pos) AS g FROM tok),
 uni AS (SELECT w, count(*) AS c FROM seq GROUP BY 1),
 size_ AS (SELECT sum(c) AS n, count(*) AS v FROM uni),
-bi AS (SELECT h, w, count(*) AS c FROM seq WHERE h IS NOT NULL GROUP BY 1, 2),
-ctx AS (SELECT h, sum(c) AS t, 1 - (sum(CASE WHEN c >= {LEAST_COUNT} THEN c ELSE 0 END) - {d} * count(*) FILTER (c >= {LEAST_COUNT})) / sum(c) AS mass FROM bi GROUP BY 1),
-each_ AS (SELECT r, ln(CASE WHEN s.h IS NULL THEN (u.c + {a}) / (n + {a} * (v + 1)) ELSE (CASE WHEN b.c >= {LEAST_COUNT} THEN (b.c - {d}) / t ELSE 0 END) + mass * (u.c + {a}) / (n + {a} * (v + 1)) END) AS lp
+bi AS MATERIALIZED (SELECT h, w, count(*) AS c FROM seq WHERE h IS NOT NULL GROUP BY 1, 2),
+tri AS MATERIALIZED (SELECT g, h, w, count(*) AS c FROM seq WHERE g IS NOT NULL GROUP BY 1, 2, 3),
+ctx AS (SELECT h, sum(c) AS t, {mass} FROM bi GROUP BY 1),
+ctx2 AS (SELECT g, h, sum(c) AS t, {mass} FROM tri JOIN (SELECT h AS g, w AS h FROM bi WHERE c >= {LEAST_COUNT}) USING (g, h) GROUP BY 1, 2),
+low AS MATERIALIZED (SELECT r, s.g, s.h, s.w, CASE WHEN s.h IS NULL THEN (u.c + {a}) / (n + {a} * (v + 1)) ELSE (CASE WHEN b.c >= {LEAST_COUNT} THEN (b.c - {d}) / t ELSE 0 END) + mass * (u.c + {a}) / (n + {a} * (v + 1)) END AS p
   FROM seq s JOIN uni u USING (w) CROSS JOIN size_ LEFT JOIN bi b ON s.h = b.h AND s.w = b.w LEFT JOIN ctx x ON s.h = x.h),
+each_ AS (SELECT r, ln(CASE WHEN y.t IS NULL THEN p ELSE (CASE WHEN k.c >= {LEAST_COUNT} THEN (k.c - {d}) / y.t ELSE 0 END) + y.mass * p END) AS lp
+  FROM low s LEFT JOIN ctx2 y ON s.g = y.g AND s.h = y.h LEFT JOIN tri k ON s.g = k.g AND s.h = k.h AND s.w = k.w),
 total AS (SELECT r, count(*) AS n_words, sum(lp) AS lp FROM each_ GROUP BY 1)
 SELECT doc_id, CASE WHEN NOT gone THEN coalesce(n_words, 0) END AS n_words, CASE WHEN NOT gone THEN round(coalesce(lp, 0), 6) END AS log_prob, round(lp / n_words, 6) AS mean_log_prob
 FROM split LEFT JOIN total USING (r)

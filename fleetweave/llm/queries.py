@@ -22,11 +22,6 @@ def op3_lm_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_automaton.score(table(spark, sf_dir, "documents"))
 
 
-def op3_lm_automaton_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with trigrams; it has no SQL, as that of ``lm_automaton.sql`` is for order 2."""
-    return lm_automaton.score(table(spark, sf_dir, "documents"), order=3)
-
-
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +63,8 @@ def _license_sql() -> str:
 WITH known(sentence, sid) AS (VALUES {known}), rules(license, rule, seq) AS (VALUES {rules}),
 rows_ AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
 parts AS MATERIALIZED (SELECT r, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?;:]+(\s|$)', chr(10), 'g'), '[
-]+'), lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda x: x <> '') AS said FROM rows_),
+
+]+'), lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda x: x <> '') AS said FROM rows_),
 places AS (SELECT r, said, unnest(generate_series(1, len(said))) AS pos FROM parts),
 spans AS ({spans}),
 found AS (SELECT r, pos, arg_max(sid, n) AS sid FROM spans JOIN known USING (sentence) GROUP BY 1, 2),
@@ -82,7 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_link_trust": op1_link_trust,
     "op2_compression_bands": op2_compression_bands,
     "op3_lm_automaton": op3_lm_automaton,
-    "op3_lm_automaton_order3": op3_lm_automaton_order3,
     "op4_decontamination": op4_decontamination,
     "op5_html_blocks": op5_html_blocks,
     "op6_substring_chains": op6_substring_chains,

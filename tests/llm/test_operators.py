@@ -138,7 +138,7 @@ def test_the_tail_of_a_text_counts():
     assert compress_bands.judge(text, zstandard.ZstdCompressor(level=3))[5:] == (1, "chunks", False)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_automaton_against_recursion(spark, order):
     rng = random.Random(order)
     texts = [sentence(rng, n, 12) for n in (0, 1, 2, 5, 40, 300, 2500)]
@@ -167,8 +167,8 @@ def test_automaton_against_recursion(spark, order):
         assert got[i] == pytest.approx(want, abs=1e-5)
 
 
-def test_order_3_is_a_query(spark):
-    got = {r.doc_id: r.log_prob for r in queries.QUERIES["op3_lm_automaton_order3"](spark, SF).collect()}
+def test_production_order_is_three(spark):
+    got = {r.doc_id: r.log_prob for r in queries.QUERIES["op3_lm_automaton"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert got == {r.doc_id: r.log_prob for r in lm_automaton.score(docs, order=3).collect()}
     assert got != {r.doc_id: r.log_prob for r in lm_automaton.score(docs, order=2).collect()}

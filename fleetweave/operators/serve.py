@@ -60,6 +60,7 @@ def jaccard_pairs(sets: DataFrame, key: str, item: str, least: float) -> DataFra
     first = one.select("s", "n", "items", F.explode(F.slice("items", F.lit(1), F.expr(f"n - cast(ceil({least} * n - 1e-9) as int) + 1"))).alias("p"))
     left, right = first.select(F.col("s").alias("sa"), F.col("n").alias("na"), "p"), first.select(F.col("s").alias("sb"), F.col("n").alias("nb"), "p")
     near = left.join(right, "p").where(f"sa < sb and na >= {least} * nb - 1e-9 and nb >= {least} * na - 1e-9").select("sa", "sb").distinct()
+    one = one.withColumn("items", F.transform("items", lambda x: x["i"]))  # plain values intersect by hash
     both = near.join(one.select(F.col("s").alias("sa"), F.col("items").alias("x"), F.col("n").alias("na")), "sa").join(one.select(F.col("s").alias("sb"), F.col("items").alias("y"), F.col("n").alias("nb")), "sb")
     like = both.withColumn("common", F.size(F.array_intersect("x", "y"))).select("sa", "sb", F.round(F.expr("common / (na + nb - common)"), 6).alias("jaccard")).where(f"jaccard >= {least}")
     same = whole.select(F.col("s").alias("sa"), F.col("s").alias("sb"), F.lit(1.0).alias("jaccard")).distinct()

@@ -101,7 +101,6 @@ _HL = """hl AS MATERIALIZED (SELECT host, section, 'dict' AS shape, unnest(['sta
 _EXACT = """sg AS MATERIALIZED (SELECT section, host, string_agg(path || chr(1) || value_type || chr(1) || value, chr(2) ORDER BY path) AS sig FROM hl GROUP BY 1, 2),
 ex AS MATERIALIZED (SELECT section, sig, count(*) AS n, min(host) AS first FROM sg GROUP BY 1, 2 HAVING count(*) >= 2),
 nm AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY section ORDER BY first) - 1 AS idx FROM ex)"""
-_CLASS = "'S' || upper(substring(section, 3, 1)) || replace(initcap_(substring(section, 4)), ' ', '')"
 
 
 def _factored(spark: SparkSession, sf_dir: str) -> sections.Factored:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetweave.llm._spark import Batches, Workspace, components, if_small, pack, sorted_groups, tidy, unpack
-from fleetweave.llm._text import groups, mix, ngrams, shingles, words
+from fleetweave.llm._text import groups, mix, shingles, words
 
 SHINGLE, REGISTERS, BANDS, LEAST_JACCARD = 3, 160, 40, 0.5
 #: texts of a bucket that are linked in one place

@@ -74,22 +74,19 @@ class Grams:
         for n in range(2, order + 1):
             alive = np.flatnonzero(left >= n)
             key = number[alive] * n_words + self.seq[alive + n - 1]
-            ordered = np.sort(key)
+            by = np.argsort(key)
+            ordered = key[by]
             first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(key) else np.zeros(0, np.int64)
-            keys = ordered[first]
+            keys, count = ordered[first], np.diff(np.append(first, len(ordered)))
+            mine = np.empty(len(key), np.int64)
+            mine[by] = np.repeat(np.arange(len(first)), count)
             self.keys.append(keys)
-            self.counts.append(np.diff(np.append(first, len(ordered))))
+            self.counts.append(count)
             with np.errstate(over="ignore"):
                 self.hash.append(mix(self.hash[-1][keys // n_words] * _MULT + self.words[keys % n_words]))
-            if n == 2:
-                self.suffix.append(keys % n_words)
-            mine = np.searchsorted(keys, key)
+            self.suffix.append(keys % n_words if n == 2 else number[alive[by[first]] + 1])
             self.ends.append(np.bincount(mine[left[alive] == n], minlength=len(keys)))
-            if n < order or n > 2:
-                if n > 2:
-                    suffix = np.zeros(len(keys), np.int64)
-                    suffix[mine] = number[alive + 1]
-                    self.suffix.append(suffix)
+            if n < order:
                 number = np.full(len(h), -1, np.int64)
                 number[alive] = mine
 
@@ -162,10 +159,13 @@ def _texts(rows: pa.Table) -> list[str]:
     return _docs(rows).column("text").to_pylist()
 
 
-def _gram_data(g: Grams, n: int, lay: tuple, p: int) -> list[bytes]:
+def _gram_data(g: Grams, n: int, lay: tuple) -> list[list[bytes]]:
+    """What goes to each part; every array is put in the order of the parts once."""
     at, b, c, runs, cat, cb = lay
-    mine, ctx = at[b[p] : b[p + 1]], cat[cb[p] : cb[p + 1]]
-    return [g.hash[n - 2][c[ctx]].tobytes(), _small(runs[ctx]), g.last_words(n)[mine].tobytes(), _small(g.counts[n - 1][mine]), _small(g.ends[n - 1][mine])]
+    heads, runs = g.hash[n - 2][c[cat]], runs[cat]
+    last, counts, ends = g.last_words(n)[at], g.counts[n - 1][at], g.ends[n - 1][at]
+    bounds = zip(b[:-1], b[1:], cb[:-1], cb[1:])
+    return [[heads[x:y].tobytes(), _small(runs[x:y]), last[i:j].tobytes(), _small(counts[i:j]), _small(ends[i:j])] for i, j, x, y in bounds]
 
 
 def _sent(docs: pa.Table, rows: list, ids: np.ndarray) -> pa.Table:
@@ -182,9 +182,8 @@ def _count(order: int, ids: np.ndarray):
         at, b = _by_part(g.words, len(ids))
         rows = [[g.words[at[b[p] : b[p + 1]]].tobytes(), _small(g.counts[0][at[b[p] : b[p + 1]]])] for p in range(len(ids))]
         if order > 1:
-            lay = g.layout(2, len(ids))
-            for p, r in enumerate(rows):
-                r += _gram_data(g, 2, lay, p)
+            for r, more in zip(rows, _gram_data(g, 2, g.layout(2, len(ids)))):
+                r += more
         return _sent(docs, rows, ids)
 
     return run
@@ -203,7 +202,7 @@ def _count_next(n: int, ids: np.ndarray):
         g = Grams(_texts(docs), n)
         found, *_ = figures_of(g, n - 1, len(ids), _by_stage(answers, ids))
         lay = g.layout(n, len(ids), *_candidates(g, n, found[n - 2][0]))
-        return _sent(docs, [_gram_data(g, n, lay, p) for p in range(len(ids))], ids)
+        return _sent(docs, _gram_data(g, n, lay), ids)
 
     return run
 

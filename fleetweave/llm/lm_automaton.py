@@ -135,7 +135,7 @@ def _pack(n: int, ids: np.ndarray):
     """(block, documents): the documents of a batch by block, compressed."""
 
     def run(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=12))
         for b in batches:
             at = np.array([xxhash.xxh3_64_intdigest(f"{d}|{t}".encode("utf-8", "surrogatepass")) % n for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.int64)
             order = np.argsort(at, kind="stable")

@@ -404,15 +404,52 @@ def test_long_fuzzy_copies_are_found_whole(spark, every):
 
 
 def test_common_seeds_thinned_in_a_task(spark):
-    """Many copies in small chunks: each is found, whatever was thinned out where."""
+    """Many copies in small chunks: all pairs of them are found, whatever was thinned out where."""
     rng = random.Random(18)
     shared = sentence(rng, 60)
     texts = [f"{sentence(rng, 30)} {shared} {sentence(rng, 30)}" for _ in range(120)]
     docs = frame(spark, enumerate(texts)).repartition(3)
     for chunk in (100, 3000, 1 << 20):
         got = substring.passages(docs, holders=4, chunk=chunk).collect()
-        assert {r.doc_id for r in got} == set(range(1, 120)) and all(r.src_doc_id < r.doc_id for r in got)
-        assert all(r.end_word - r.start_word >= 60 for r in got) and len(got) <= 120 * 6
+        assert {(r.doc_id, r.src_doc_id) for r in got} == {(j, i) for i, j in itertools.combinations(range(120), 2)}
+        assert all(r.end_word - r.start_word >= 60 for r in got) and len(got) == 120 * 119 // 2
+
+
+@pytest.mark.parametrize("split", [{}, {"members": 7, "common_seeds": 20}])
+def test_passages_of_common_seeds_against_all_diagonals(spark, split):
+    """Variants of few passages in many documents, with a common line in all and common words before: no seed of theirs is rare."""
+    rng = random.Random(21)
+    line = sentence(rng, 14)
+    base = [sentence(rng, 60, 10**6).split() for _ in range(2)]
+    texts = []
+    for i in range(90):
+        w = list(base[i % 2])
+        for at in rng.sample(range(60), rng.choice((0, 3, 6))):
+            w[at] = f"s{rng.randrange(10**6)}"
+        texts.append(" ".join((sentence(rng, 40, 10**6), line, sentence(rng, 20, 10**6), *w[: rng.choice((60, 44))], sentence(rng, 40, 10**6))))
+    # earlier documents are the first holders of the parts' seeds
+    texts = [" ".join((sentence(rng, 20, 10**6), *b[i : i + 15], sentence(rng, 20, 10**6))) for b in base for i in range(0, 60, 15)] + texts
+    want = brute_passages(texts)
+    rows = substring.passages(frame(spark, enumerate(texts)), **split).collect()
+    got = {(r.doc_id, r.src_doc_id) for r in rows}
+    assert len(want) > 90 * 10 and want <= got
+    for r in rows:  # a longer one need not hold 40 words that are equal often enough
+        x, y = texts[r.doc_id].split()[r.start_word : r.end_word], texts[r.src_doc_id].split()[r.src_start_word : r.src_end_word]
+        assert r.n_equal >= 0.8 * max(len(x), len(y)) >= 32 and (len(x) != len(y) or r.n_equal >= sum(map(str.__eq__, x, y)))
+
+
+def test_equal_texts_are_a_class(spark):
+    """A copy has one passage, in the first of its class; that one is held against all other texts."""
+    rng = random.Random(22)
+    shared, short = sentence(rng, 60), sentence(rng, 20)
+    a, b = (f"{sentence(rng, 30)} {shared} {sentence(rng, 30)}" for _ in range(2))
+    rows = [(i, a) for i in range(1, 40)] + [(i, b) for i in range(40, 80)] + [(80, short), (81, short)]
+    got = {(r.doc_id, r.src_doc_id, r.end_word - r.start_word) for r in substring.passages(frame(spark, rows)).collect()}
+    assert {x for x in got if x[2] == 120} == {(i, 1, 120) for i in range(2, 40)} | {(i, 40, 120) for i in range(41, 80)}
+    assert [x[:2] for x in got if x[2] < 120] == [(40, 1)] and len(got) == 38 + 39 + 1
+    # doc 1 has both texts: it can't stand for the others
+    got = {(r.doc_id, r.src_doc_id) for r in substring.passages(frame(spark, [(1, a), (1, b), (2, b), (3, a)])).collect()}
+    assert got == {(2, 1), (3, 1), (3, 2)}
 
 
 def test_pieces_held_by_earlier_documents_do_not_hide_a_passage(spark):

@@ -708,6 +708,21 @@ def test_pipeline_on_planted_documents(spark):
     assert corpus_pipeline.run(spark, SF).where("not round_trip").count() == 0
 
 
+def test_pipeline_cuts_passages_of_common_seeds(spark):
+    """A fuzzy passage whose parts stand in 20 earlier documents each is cut from the later one of the two that hold it."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    w, c = fuzzy(rng, 60, every=9)
+    unique = lambda n: sentence(rng, n, 10**6)
+    texts = [f"{unique(30)} {' '.join(x[i : i + 20])} {unique(30)}" for x in (w, c) for i in range(0, 50, 10) for _ in range(20)]
+    texts += [f"{unique(40)} {' '.join(x)} {unique(40)}" for x in (w, c)]
+    n = len(texts)
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, frame(spark, enumerate(texts)), SF).collect()}
+    assert all(got[i] == texts[i] for i in range(n - 1))
+    assert 55 <= len(texts[-1].split()) - len(got[n - 1].split()) <= 65
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """The rows of run() on a made-up corpus, from plain definitions of its five stages."""
     import corpus_pipeline

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetweave.llm._spark import tidy
+from fleetweave.llm._spark import release, tidy
 from fleetweave.llm._text import groups, mix, words
 
 ORDER, LEAST_COUNT, DISCOUNT, ADDED = 3, 2, 0.75, 0.5
@@ -54,13 +54,18 @@ class Grams:
             hashes.append(h)
             ptr.append(p[1:] + ptr[-1][-1])
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        del hashes
         self.ptr = np.concatenate(ptr)
+        size = len(h)
         codes, seen = pd.factorize(h)
+        del h
         rank = np.argsort(seen)
         self.words = seen[rank]
-        place = np.empty(len(rank), np.int64)
+        # numbers of words and n-grams of a block take 32 bits, only keys need more
+        place = np.empty(len(rank), np.int32)
         place[rank] = np.arange(len(rank))
         self.seq = place[codes]
+        del codes, seen, rank, place
         n_words = max(1, len(self.words))
         self.keys: list[np.ndarray] = [np.arange(len(self.words))]
         self.counts = [np.bincount(self.seq, minlength=len(self.words))]
@@ -69,25 +74,27 @@ class Grams:
         self.suffix: list[np.ndarray] = [np.zeros(len(self.words), np.int64)]
         #: how often each n-gram ends a text
         self.ends: list[np.ndarray] = [np.zeros(len(self.words), np.int64)]
-        number, alive = self.seq, np.arange(len(h))  # n-gram numbers by first word
-        left = np.repeat(self.ptr[1:], np.diff(self.ptr)) - alive  # words from here to the end of the text
+        number = self.seq  # n-gram numbers by first word
+        left = (np.repeat(self.ptr[1:], np.diff(self.ptr)) - np.arange(size)).astype(np.int32)  # words from here to the end of the text
         for n in range(2, order + 1):
-            alive = np.flatnonzero(left >= n)
-            key = number[alive] * n_words + self.seq[alive + n - 1]
+            alive = np.flatnonzero(left >= n).astype(np.int32)
+            key = number[alive].astype(np.int64) * n_words + self.seq[alive + n - 1]
             by = np.argsort(key)
             ordered = key[by]
-            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(key) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(by) else np.zeros(0, np.int64)
             keys, count = ordered[first], np.diff(np.append(first, len(ordered)))
-            mine = np.empty(len(key), np.int64)
+            del key, ordered
+            mine = np.empty(len(by), np.int32)
             mine[by] = np.repeat(np.arange(len(first)), count)
             self.keys.append(keys)
-            self.counts.append(count)
+            self.counts.append(count.astype(np.int32))
             with np.errstate(over="ignore"):
                 self.hash.append(mix(self.hash[-1][keys // n_words] * _MULT + self.words[keys % n_words]))
-            self.suffix.append(keys % n_words if n == 2 else number[alive[by[first]] + 1])
-            self.ends.append(np.bincount(mine[left[alive] == n], minlength=len(keys)))
+            self.suffix.append((keys % n_words).astype(np.int32) if n == 2 else number[alive[by[first]] + 1])
+            del by, first
+            self.ends.append(np.bincount(mine[left[alive] == n], minlength=len(keys)).astype(np.int32))
             if n < order:
-                number = np.full(len(h), -1, np.int64)
+                number = np.full(size, -1, np.int32)
                 number[alive] = mine
 
     def contexts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +191,8 @@ def _count(order: int, ids: np.ndarray):
         if order > 1:
             for r, more in zip(rows, _gram_data(g, 2, g.layout(2, len(ids)))):
                 r += more
+        del g
+        release()
         return _sent(docs, rows, ids)
 
     return run
@@ -202,7 +211,10 @@ def _count_next(n: int, ids: np.ndarray):
         g = Grams(_texts(docs), n)
         found, *_ = figures_of(g, n - 1, len(ids), _by_stage(answers, ids))
         lay = g.layout(n, len(ids), *_candidates(g, n, found[n - 2][0]))
-        return _sent(docs, _gram_data(g, n, lay), ids)
+        rows = _gram_data(g, n, lay)
+        del g, found, lay
+        release()
+        return _sent(docs, rows, ids)
 
     return run
 
@@ -252,6 +264,8 @@ def _answer(order: int, least_count: int, stage: int):
             out = [[whole, _small(mine[a:b])] for a, b in zip(at[:-1], at[1:])]
         if order > 1:
             _grams_answer(data, 2 if stage == 2 else 0, least_count, out)
+        del data
+        release()
         return pa.table({"block": rows.column("block"), "part": rows.column("part"), "stage": pa.array([stage] * len(out), pa.int32()), "data": pa.array(out, pa.list_(pa.binary()))})
 
     return run
@@ -367,12 +381,21 @@ def figures_of(g: Grams, order: int, parts: int, stages: dict[int, list[list[byt
 def _score(order: int, ids: np.ndarray, discount: float, added: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = _docs(docs)
-        g = Grams(docs.column("text").to_pylist(), order)
+        g, doc_id = Grams(docs.column("text").to_pylist(), order), docs.column("doc_id").combine_chunks()
+        del docs
+        g.hash = g.hash[: max(1, order - 1)]
+        release()
         found, n_tokens, n_distinct = figures_of(g, order, len(ids), _by_stage(answers, ids))
-        log = Automaton(g, [f[:3] for f in found], n_tokens, n_distinct, discount, added).walk(g.seq, g.ptr, order)
-        n = np.diff(g.ptr)
+        found = [f[:3] for f in found]
+        walker = Automaton(g, found, n_tokens, n_distinct, discount, added)
+        seq, ptr = g.seq, g.ptr
+        del g, found
+        log = walker.walk(seq, ptr, order)
+        n = np.diff(ptr)
+        del walker, seq
+        release()
         mean = np.divide(log, n, out=np.zeros(len(n)), where=n > 0)
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_prob": pa.array(log), "mean_log_prob": pa.array(mean, mask=n == 0)})
+        return pa.table({"doc_id": doc_id, "n_words": pa.array(n, pa.int64()), "log_prob": pa.array(log), "mean_log_prob": pa.array(mean, mask=n == 0)})
 
     return run
 

@@ -167,6 +167,22 @@ def test_automaton_against_recursion(spark, order):
         assert got[i] == pytest.approx(want, abs=1e-5)
 
 
+def test_grams_hold_narrow_numbers_within_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 2000) % 50_000) for _ in range(300)]
+    lm_automaton.Grams(texts[:2], 3)  # tables of code points
+    tracemalloc.start()
+    g = lm_automaton.Grams(texts, 3)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    n = len(g.seq)
+    assert n == 600_000 and g.seq.dtype == g.counts[2].dtype == g.suffix[2].dtype == np.int32
+    assert sum(map(int, g.counts[2])) == n - 2 * 300
+    assert held < 50 * n and peak < 95 * n
+
+
 def test_production_order_is_three(spark):
     got = {r.doc_id: r.log_prob for r in queries.QUERIES["op3_lm_automaton"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")

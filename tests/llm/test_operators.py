@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips and held-out accuracy, and on the awkward cases."""
 
+import collections
 import itertools
 import math
 import os
@@ -454,6 +455,55 @@ def test_passages_of_common_seeds_against_all_diagonals(spark, split):
         assert r.n_equal >= 0.8 * max(len(x), len(y)) >= 32 and (len(x) != len(y) or r.n_equal >= sum(map(str.__eq__, x, y)))
 
 
+def test_runs_are_classes(spark):
+    """Runs of one word or line: a passage a document, in the first holder of the class; what stands beside runs is still found."""
+    rng = random.Random(23)
+    line, beside = sentence(rng, 9, 10**6), sentence(rng, 30, 10**6)
+    run = lambda i: " ".join(["tick"] * (60 + 7 * i % 50)) if i % 2 else " ".join([line] * (6 + i % 5))
+    texts = [" ".join((sentence(rng, 40, 10**6), beside if i in (30, 31, 32, 41) else sentence(rng, 10, 10**6), run(i), sentence(rng, 40, 10**6))) for i in range(60)]
+    texts.append(" ".join((sentence(rng, 40, 10**6), *["tick"] * 34, sentence(rng, 40, 10**6))))  # no run of its own right, but a passage of 40 words
+    docs = frame(spark, enumerate(texts))
+    rows = substring.passages(docs).collect()
+    covered = collections.defaultdict(set)
+    for r in rows:
+        covered[r.doc_id] |= set(range(r.start_word, r.end_word))
+    for i in range(2, 60):
+        w, n = texts[i].split(), len(run(i).split())
+        at = 70 if i in (30, 31, 32, 41) else 50
+        assert w[at : at + n] == run(i).split() and covered[i] >= set(range(at, at + n))
+        assert (covered[i] >= set(range(40, at))) == (i in (32, 41))
+        assert any(r.doc_id == i and r.src_doc_id == i % 2 and r.end_word - r.start_word == n for r in rows)
+    assert {(32, 30), (41, 31)} <= {(r.doc_id, r.src_doc_id) for r in rows} and len(rows) < 100  # all pairs are 870
+    left = {r.doc_id: r.text.split() for r in substring.without_repeats(docs).collect()}
+    assert all("tick" not in left[i] and line.split()[0] not in left[i] for i in range(2, 60))
+
+
+def test_runs_against_brute_force():
+    rng = random.Random(24)
+    for _ in range(200):
+        texts = []
+        for _ in range(3):
+            t = []
+            while len(t) < rng.randrange(1, 200):
+                unit = [rng.randrange(4) for _ in range(rng.randrange(1, 6))]
+                t += (unit * rng.randrange(1, 30))[: rng.randrange(1, 70)]
+            texts.append(t)
+        h, ptr = np.array([x + 1 for t in texts for x in t], np.uint64), np.cumsum([0] + [len(t) for t in texts])
+        want = set()
+        for i, t in enumerate(texts):
+            for p in range(1, 9):
+                at = 0
+                while at + p < len(t):
+                    end = at
+                    while end + p < len(t) and t[end] == t[end + p]:
+                        end += 1
+                    if end - at >= 19 and not any(w[0] == i and w[1] <= at and end + p <= w[2] for w in want):
+                        want.add((i, at, end + p, p))
+                    at = max(end, at) + 1
+        got = substring.runs(h, ptr, 20, 8)
+        assert {r[:4] for r in got} == want and len(got) == len(want)
+
+
 def test_equal_texts_are_a_class(spark):
     """A copy has one passage, in the first of its class; that one is held against all other texts."""
     rng = random.Random(22)

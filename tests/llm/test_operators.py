@@ -455,6 +455,26 @@ def test_passages_of_common_seeds_against_all_diagonals(spark, split):
         assert r.n_equal >= 0.8 * max(len(x), len(y)) >= 32 and (len(x) != len(y) or r.n_equal >= sum(map(str.__eq__, x, y)))
 
 
+@pytest.mark.parametrize("of", ["passages", "pipeline"])
+def test_passages_with_gaps_of_common_seeds(spark, of):
+    """Passages with words put in and left out, all seeds of which are common and stand in an earlier document by themselves."""
+    import corpus_pipeline
+
+    rng = random.Random(25)
+    parts = [sentence(rng, 12, 10**6).split() for _ in range(4)]
+    new = lambda n: sentence(rng, n, 10**6).split()
+    texts = [[*new(20), *p, *new(20)] for _ in range(20) for p in parts]  # pieces, too short for a passage
+    n = len(texts)
+    texts += [[*new(30), *parts[0], *parts[1], *parts[2], *parts[3], *new(30)], [*new(30), *parts[0], *new(1), *parts[1], *new(1), *parts[2], *new(1), *parts[3], *new(30)]]
+    docs = frame(spark, enumerate(map(" ".join, texts)))
+    if of == "passages":
+        got = [(r.doc_id, r.src_doc_id, r.end_word - r.start_word, r.n_equal) for r in substring.passages(docs).collect()]
+        assert [x[:2] for x in got] == [(n + 1, n)] and 49 <= got[0][2] <= 53 and got[0][3] >= 48
+    else:
+        left = {r.doc_id: r.text.split() for r in corpus_pipeline.cut_repeats(spark, docs, None).collect()}
+        assert all(left[i] == texts[i] for i in range(n + 1)) and 58 <= len(left[n + 1]) <= 62
+
+
 def test_runs_are_classes(spark):
     """Runs of one word or line: a passage a document, in the first holder of the class; what stands beside runs is still found."""
     rng = random.Random(23)

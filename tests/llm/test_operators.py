@@ -10,6 +10,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -475,6 +476,45 @@ def test_passages_with_gaps_of_common_seeds(spark, of):
         assert all(left[i] == texts[i] for i in range(n + 1)) and 58 <= len(left[n + 1]) <= 62
 
 
+def test_pairs_of_a_common_seed_come_in_pieces():
+    """However many pairs of a seed go on, and with or without a gap, they are never in memory together."""
+    around, n = substring.Around(substring.K, substring.LEAST_WORDS, substring.LEAST_SHARE), 1500
+    rng = np.random.default_rng(27)
+    alike = np.tile(rng.integers(0, 8, around.total, np.uint8), (n, 1))
+    shifted = alike.copy()  # every other row has two words less before the seed and two more behind it
+    shifted[::2, 2 : around.before - 10] = alike[::2, : around.before - 12]
+    shifted[::2, around.before + 15 : -2] = alike[::2, around.before + 17 :]
+    for codes, least in ((alike, n * (n - 1) // 2), (shifted, 2 * (n // 2) * (n // 2 - 1) // 2)):
+        rows = around.rows(codes, np.zeros(n, np.uint64), np.zeros(n, np.uint8))
+        sizes = [len(part[0]) for part in around.pairs(rows, np.arange(n), np.zeros(n, np.int32))]
+        assert least <= sum(sizes) <= n * (n - 1) // 2 and max(sizes) <= 1 << 16
+
+
+@pytest.mark.parametrize("near_from", [0, 10**9])
+def test_seeds_near_a_common_one_tell_gaps(spark, near_from):
+    """Passages with a gap are found between documents that all share a line; that some hold the line twice makes no pair."""
+    rng = random.Random(28)
+    new = lambda n: sentence(rng, n, 10**6).split()
+    parts, line = [new(12) for _ in range(4)], new(14)
+    texts = [[*new(20), *p, *new(20)] for _ in range(20) for p in parts]
+    texts += [[*new(30), *line, *new(rng.randrange(20, 60)), *(line if i % 3 == 0 else new(5)), *new(30)] for i in range(60)]
+    n = len(texts)
+    texts += [[*line, *new(30), *itertools.chain(*parts), *new(30)], [*line, *new(30), *parts[0], *new(1), *parts[1], *new(1), *parts[2], *new(1), *parts[3], *new(30)]]
+    got = [(r.doc_id, r.src_doc_id) for r in substring.passages(frame(spark, enumerate(map(" ".join, texts))), near_from=near_from).collect()]
+    assert got == [(n + 1, n)]
+
+
+def test_the_same_seed_twice_is_no_gap():
+    """A pair that must have a gap and shares one common seed, twice in one document, has no chain with one."""
+    chain = substring._chain(substring.K, substring.LEAST_SEEDS, substring.LEAST_SPAN)
+    names = ["b", "a", "pos_b", "pos_a", "weak"]
+    rows = lambda places: pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*((2, 1, b, a, True) for b, a in places))], names)
+    count = lambda places: sum(b.num_rows for b in chain(iter([rows(places)])))
+    assert count([(10, 50), (13, 53), (40, 50), (43, 53)]) == 0
+    assert count([(10, 50), (13, 53), (40, 81), (43, 84)]) == 1
+    assert count([(10, 50), (13, 53), (140, 181), (143, 184)]) == 0  # no gap so long is aligned
+
+
 def test_runs_are_classes(spark):
     """Runs of one word or line: a passage a document, in the first holder of the class; what stands beside runs is still found."""
     rng = random.Random(23)

@@ -490,6 +490,35 @@ def test_pairs_of_a_common_seed_come_in_pieces():
         assert least <= sum(sizes) <= n * (n - 1) // 2 and max(sizes) <= 1 << 16
 
 
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    """Else each step's shuffle files are on disk together with those of the next one."""
+    jvm = spark.sparkContext._jvm
+
+    def files():
+        return {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    with Workspace(spark) as ws:
+        ws.settle()
+        before = files()
+        assert ws.write(spark.range(1000).repartition(3, "id"), "some").count() == 1000
+        ws.write(spark.range(1000).repartition(3, "id"), "more")
+        ws.settle()
+        assert files() <= before
+
+
+def test_pairs_are_aligned_in_parts(spark, monkeypatch):
+    """However many pairs of documents there are, only the words that one part needs are on disk together; the passages are the same."""
+    rng = random.Random(31)
+    shared = sentence(rng, 60, 10**6)
+    docs = frame(spark, [(i, f"{sentence(rng, 30, 10**6)} {shared} {sentence(rng, 30, 10**6)}") for i in range(30)])
+    whole = {tuple(r) for r in substring.passages(docs).collect()}
+    written, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name, keep=False: written.append((name, got := write(self, df, name, keep))) or got)
+    assert {tuple(r) for r in substring.passages(docs, pairs=100).collect()} == whole and len(whole) == 30 * 29 // 2
+    sizes = [df.count() for name, df in written if name.startswith("aligned")]
+    assert len(sizes) >= 5 and sum(sizes) == len(whole) and max(sizes) < 200
+
+
 @pytest.mark.parametrize("near_from", [0, 10**9])
 def test_seeds_near_a_common_one_tell_gaps(spark, near_from):
     """Passages with a gap are found between documents that all share a line; that some hold the line twice makes no pair."""

@@ -3,19 +3,20 @@
 Counts cover all documents. An n-gram of two words or more that occurs ``least_count`` times makes an arc with an
 absolute-discounted, interpolated probability; what the discounts and the rarer n-grams leave is the weight of the
 failure arc to the context without its first word. Single words are smoothed additively and always have an arc, so a
-traversal never ends. One pass from left to right carries the state and adds up log-probabilities.
+traversal never ends. The state before a word is the longest kept n-gram that ends there, so the n-gram that ends at the
+word tells which failure arcs and which arc are taken; their weights are added up once for each distinct n-gram.
 
 The model grows with the corpus and is never in one place. Documents meet in blocks. A block counts its own distinct
 words and pairs and sends them, packed by the hash of their context, one row a partition; there counts of all blocks
 are added, contexts are complete, and each block gets back the figures of its own n-grams. Longer n-grams follow order
 by order: one can only be kept if what it is without its first or its last word is, so a block sends no others, and how
 often a context is followed by anything is its count less the times it ends a text. From the figures a block builds the
-part of the automaton that its documents can reach, and walks it with all documents side by side. What is exchanged
+part of the automaton that its documents can reach, and reads all documents side by side. What is exchanged
 is the documents once, compressed, and the blocks' distinct n-grams as far as they may be kept, there and back.
 
 Defined cases: a null text has null figures; a text without words has no words, log_prob 0 and a null mean; words are
 those of ``_text.words`` and n-grams don't cross documents; the first word is read from the state without context;
-repeated rows count and are scored each; a very long text is walked in strips; an empty table gives no rows; other
+repeated rows count and are scored each; a very long text is read like others; an empty table gives no rows; other
 columns, whatever their names, are ignored, and doc_id may be null.
 """
 
@@ -37,8 +38,6 @@ from fleetweave.llm._text import groups, mix, words
 ORDER, LEAST_COUNT, DISCOUNT, ADDED = 3, 2, 0.75, 0.5
 #: characters of a block at least and at most; between them a corpus has BLOCKS blocks, for rows grow with their square
 BLOCK_CHARS, MOST_BLOCK_CHARS, BLOCKS = 16_000_000, 256_000_000, 2000
-#: words that are walked in one go; the next strip starts with the context it needs
-STRIP = 1024
 _MULT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 SCHEMA = "doc_id long, n_words long, log_prob double, mean_log_prob double"
@@ -69,14 +68,19 @@ class Grams:
         n_words = max(1, len(self.words))
         self.keys: list[np.ndarray] = [np.arange(len(self.words))]
         self.counts = [np.bincount(self.seq, minlength=len(self.words))]
+        #: by order, as far as they are contexts of n-grams
         self.hash = [self.words]
         #: for each n-gram, the number of that without its first word
         self.suffix: list[np.ndarray] = [np.zeros(len(self.words), np.int64)]
         #: how often each n-gram ends a text
         self.ends: list[np.ndarray] = [np.zeros(len(self.words), np.int64)]
         number = self.seq  # n-gram numbers by first word
+        #: numbers of the shorter n-grams that begin a text, where it has so many words, and of all longest ones in order
+        self.first: list[np.ndarray] = []
+        self.last = self.seq
         left = (np.repeat(self.ptr[1:], np.diff(self.ptr)) - np.arange(size)).astype(np.int32)  # words from here to the end of the text
         for n in range(2, order + 1):
+            self.first.append(number[self.ptr[:-1][np.diff(self.ptr) >= n - 1]])
             alive = np.flatnonzero(left >= n).astype(np.int32)
             key = number[alive].astype(np.int64) * n_words + self.seq[alive + n - 1]
             by = np.argsort(key)
@@ -88,14 +92,17 @@ class Grams:
             mine[by] = np.repeat(np.arange(len(first)), count)
             self.keys.append(keys)
             self.counts.append(count.astype(np.int32))
-            with np.errstate(over="ignore"):
-                self.hash.append(mix(self.hash[-1][keys // n_words] * _MULT + self.words[keys % n_words]))
+            if n < order:
+                with np.errstate(over="ignore"):
+                    self.hash.append(mix(self.hash[-1][keys // n_words] * _MULT + self.words[keys % n_words]))
             self.suffix.append((keys % n_words).astype(np.int32) if n == 2 else number[alive[by[first]] + 1])
             del by, first
             self.ends.append(np.bincount(mine[left[alive] == n], minlength=len(keys)).astype(np.int32))
             if n < order:
                 number = np.full(size, -1, np.int32)
                 number[alive] = mine
+            else:
+                self.last = mine
 
     def contexts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the contexts of the n-grams, and how many n-grams each has, in the order of the keys."""
@@ -271,77 +278,38 @@ def _answer(order: int, least_count: int, stage: int):
     return run
 
 
-class Automaton:
-    """States are kept n-grams shorter than the order, 0 the one without context. Arcs are sorted by state and word."""
+def weights(g: Grams, figures: list[tuple[np.ndarray, ...]], n_tokens: int, n_distinct: int, discount: float = DISCOUNT, added: float = ADDED) -> list[np.ndarray]:
+    """By order, the log-probability of each n-gram's last word behind the others: the arc's, or that of the failure arcs and the arc they lead to.
 
-    def __init__(self, g: Grams, figures: list[tuple[np.ndarray, ...]], n_tokens: int, n_distinct: int, discount: float = DISCOUNT, added: float = ADDED):
-        """figures: (counts,) for words, then (kept counts, contexts, their sums) by order."""
-        order, n_words = len(g.keys), max(1, len(g.words))
-        self.n_words = n_words
-        prob = (figures[0][0] + added) / (n_tokens + added * (n_distinct + 1)) if len(g.words) else np.zeros(0)
-        sizes = [1, *(len(k) for k in g.keys[: order - 1])]
-        base = np.concatenate(([0], np.cumsum(sizes)))  # first state of each length
-        self.fail, self.back = np.zeros(base[-1], np.int64), np.zeros(base[-1])
-        to = 1 + np.arange(len(g.words)) if order > 1 else np.zeros(len(g.words), np.int64)
-        arcs, logs, next_ = [g.keys[0]], [np.log(prob)], [to]
-        for n in range(2, order + 1):
-            kept, ctx, sums = figures[n - 1]
-            c = g.keys[n - 1] // n_words
-            total, mass = np.ones(sizes[n - 1]), np.ones(sizes[n - 1])
-            total[ctx] = sums[:, 0]
-            mass[ctx] = 1 - (sums[:, 1] - discount * sums[:, 2]) / sums[:, 0]
-            prob = np.where(kept > 0, (kept - discount) / total[c], 0.0) + mass[c] * prob[g.suffix[n - 1]]
-            self.back[base[n - 1] : base[n]] = np.log(mass)
-            if n > 2:
-                self.fail[base[n - 1] : base[n]] = base[n - 2] + g.suffix[n - 2]
-            lower = to[g.suffix[n - 1]]
-            to = np.where(kept > 0, base[n] + np.arange(len(kept)), lower) if n < order else lower
-            some = kept > 0
-            arcs.append((base[n - 1] + c[some]) * n_words + g.keys[n - 1][some] % n_words)
-            logs.append(np.log(prob[some]))
-            next_.append(to[some])
-        self.arcs, self.logs, self.next = np.concatenate(arcs), np.concatenate(logs), np.concatenate(next_)
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probability, next state) of one word each."""
-        got, out, open_ = np.zeros(len(state)), np.empty(len(state), np.int64), None
-        while True:
-            key = state * self.n_words + word
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            hit = self.arcs[at] == key
-            if open_ is None and hit.all():
-                return self.logs[at], self.next[at]
-            if open_ is None:
-                open_ = np.arange(len(state))
-            where = open_[hit]
-            got[where] += self.logs[at[hit]]
-            out[where] = self.next[at[hit]]
-            miss = ~hit
-            if not miss.any():
-                return got, out
-            open_, state, word = open_[miss], state[miss], word[miss]
-            got[open_] += self.back[state]
-            state = self.fail[state]
-
-    def walk(self, seq: np.ndarray, ptr: np.ndarray, order: int, strip: int = STRIP) -> np.ndarray:
-        """The log-probability of each text seq[ptr[i]:ptr[i + 1]]; long texts go in strips that read their context first."""
-        size = np.diff(ptr)
-        n_strips = -(-size // strip)
-        owner = np.repeat(np.arange(len(size)), n_strips)
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(n_strips) - n_strips, n_strips)
-        begin = ptr[owner] + k * strip
-        warm = np.minimum(order - 1, begin - ptr[owner])
-        length = np.minimum(strip, ptr[owner + 1] - begin) + warm
-        by = np.argsort(-length, kind="stable")
-        start, wait, length = (begin - warm)[by], warm[by], length[by]
-        total, state = np.zeros(len(by)), np.zeros(len(by), np.int64)
-        for t in range(int(length[0]) if len(length) else 0):
-            n = int(np.searchsorted(-length, -t, "left"))
-            log, state[:n] = self.step(state[:n], seq[start[:n] + t])
-            total[:n] += np.where(t >= wait[:n], log, 0.0)
-        back = np.empty(len(by))
-        back[by] = total
-        return np.bincount(owner, weights=back, minlength=len(size)) if len(owner) else np.zeros(len(size))
+    figures: (counts,) for words, then (kept counts, contexts, their sums) by order.
+    """
+    n_words = max(1, len(g.words))
+    prob = (figures[0][0] + added) / (n_tokens + added * (n_distinct + 1)) if len(g.words) else np.zeros(0)
+    out = [np.log(prob)]
+    for n in range(2, len(g.keys) + 1):
+        kept, ctx, sums = figures[n - 1]
+        c = g.keys[n - 1] // n_words
+        # behind what isn't kept no arcs begin: its failure arc has weight 1
+        total, mass = np.ones(len(g.keys[n - 2])), np.ones(len(g.keys[n - 2]))
+        total[ctx] = sums[:, 0]
+        mass[ctx] = 1 - (sums[:, 1] - discount * sums[:, 2]) / sums[:, 0]
+        prob = np.where(kept > 0, (kept - discount) / total[c], 0.0) + mass[c] * prob[g.suffix[n - 1]]
+        out.append(np.log(prob))
+    return out
+
+
+def read(g: Grams, logs: list[np.ndarray]) -> np.ndarray:
+    """The log-probability of each text: the first words behind all before them, the others behind ``order - 1``.
+
+    The n-gram that ends at a word names the state before it and its arc, so no arc is searched for.
+    """
+    size, order = np.diff(g.ptr), len(g.keys)
+    owner = np.repeat(np.arange(len(size)), np.maximum(0, size - order + 1))
+    total = np.bincount(owner, weights=logs[-1][g.last], minlength=len(size)) if len(owner) else np.zeros(len(size))
+    for n in range(1, order):
+        some = size >= n
+        total[some] += logs[n - 1][g.first[n - 1]]
+    return total
 
 
 def _by_stage(answers: pa.Table, ids: np.ndarray) -> dict[int, list[list[bytes]]]:
@@ -383,16 +351,12 @@ def _score(order: int, ids: np.ndarray, discount: float, added: float):
         docs = _docs(docs)
         g, doc_id = Grams(docs.column("text").to_pylist(), order), docs.column("doc_id").combine_chunks()
         del docs
-        g.hash = g.hash[: max(1, order - 1)]
+        del g.seq
         release()
         found, n_tokens, n_distinct = figures_of(g, order, len(ids), _by_stage(answers, ids))
         found = [f[:3] for f in found]
-        walker = Automaton(g, found, n_tokens, n_distinct, discount, added)
-        seq, ptr = g.seq, g.ptr
+        log, n = read(g, weights(g, found, n_tokens, n_distinct, discount, added)), np.diff(g.ptr)
         del g, found
-        log = walker.walk(seq, ptr, order)
-        n = np.diff(ptr)
-        del walker, seq
         release()
         mean = np.divide(log, n, out=np.zeros(len(n)), where=n > 0)
         return pa.table({"doc_id": doc_id, "n_words": pa.array(n, pa.int64()), "log_prob": pa.array(log), "mean_log_prob": pa.array(mean, mask=n == 0)})

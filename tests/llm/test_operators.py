@@ -185,6 +185,23 @@ def test_grams_hold_narrow_numbers_within_bounded_memory():
     assert held < 50 * n and peak < 95 * n
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_each_word_has_its_ngram(order):
+    """Texts are read by numbers of n-grams: those that begin a text and all of the longest, each word in one."""
+    rng = random.Random(order)
+    texts = [sentence(rng, n, 6) for n in (0, 1, 2, 3, 4, 0, 60, 1, 0)]
+    g = lm_automaton.Grams(texts, order)
+    hashes, _, _, ptr = words(texts)
+    names = [[(w,) for w in g.words.tolist()]]
+    for keys in g.keys[1:]:
+        names.append([names[-1][k // len(g.words)] + names[0][k % len(g.words)] for k in keys.tolist()])
+    split = [tuple(hashes[a:b].tolist()) for a, b in zip(ptr[:-1], ptr[1:])]
+    assert [names[-1][i] for i in g.last] == [t[i : i + order] for t in split for i in range(len(t) - order + 1)]
+    for n in range(1, order):
+        assert [names[n - 1][i] for i in g.first[n - 1]] == [t[:n] for t in split if len(t) >= n]
+    assert lm_automaton.read(g, [np.ones(len(k)) for k in g.keys]).tolist() == [len(t) for t in split]
+
+
 def test_production_order_is_three(spark):
     got = {r.doc_id: r.log_prob for r in queries.QUERIES["op3_lm_automaton"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -236,3 +236,8 @@ def test_anti_unification_on_some_paths(spark):
     paths = spark.createDataFrame([("p",), ("q",), ("r",)], "path string")
     assert {tuple(r) for r in relations.anti_unify(attrs, pairs, paths).collect()} == {("a", "b", 1, 2), ("a", "z", 0, 3)}
     assert {tuple(r) for r in relations.anti_unify(attrs, pairs).collect()} == {("a", "b", 1, 1), ("a", "z", 0, 2)}
+
+
+def test_sample_of_a_long_text(spark):
+    texts = spark.createDataFrame([(1, "a" * 60_000), (2, "b" * 40_000), (3, None), (4, "")], "id int, text string")
+    assert {(r.id, r.n) for r in documents.sample_texts(texts).select("id", F.length("text").alias("n")).collect()} == {(1, 30_000), (2, 20_000), (3, None), (4, 0)}

@@ -11,6 +11,7 @@ from fleetweave.functions import secrets, trees
 from fleetweave.operators import fleet, hierarchy, questions, relations, sections, serve, tiers
 from fleetweave.operators.profile import profile
 from fleetweave.sources import device, documents
+from fleetweave.sources.table import leaves
 
 ATTRS = "entity_id string, path string, attr_type string, value string"
 
@@ -241,3 +242,8 @@ def test_anti_unification_on_some_paths(spark):
 def test_sample_of_a_long_text(spark):
     texts = spark.createDataFrame([(1, "a" * 60_000), (2, "b" * 40_000), (3, None), (4, "")], "id int, text string")
     assert {(r.id, r.n) for r in documents.sample_texts(texts).select("id", F.length("text").alias("n")).collect()} == {(1, 30_000), (2, 20_000), (3, None), (4, 0)}
+
+
+def test_doubles_as_texts(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate((-0.0, 0.0, 1.0, -3.0, 2.5, None))], "k int, v double")
+    assert [(r.entity_id, r.value) for r in leaves(df, "k", ["v"], "s").orderBy("entity_id").collect()] == [("0", "0"), ("1", "0"), ("2", "1"), ("3", "-3"), ("4", "2.5")]

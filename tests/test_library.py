@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from fleetweave import __main__ as cli
 from fleetweave.functions import secrets, trees
 from fleetweave.operators import fleet, hierarchy, questions, relations, sections, serve, tiers
 from fleetweave.operators.profile import profile
+from fleetweave.plans import catalogue
 from fleetweave.sources import device, documents
 from fleetweave.sources.table import leaves
 
@@ -247,3 +249,21 @@ def test_sample_of_a_long_text(spark):
 def test_doubles_as_texts(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate((-0.0, 0.0, 1.0, -3.0, 2.5, None))], "k int, v double")
     assert [(r.entity_id, r.value) for r in leaves(df, "k", ["v"], "s").orderBy("entity_id").collect()] == [("0", "0"), ("1", "0"), ("2", "1"), ("3", "-3"), ("4", "2.5")]
+
+
+def test_secrets_of_odd_lines(spark, tmp_path):
+    rng = random.Random(5)
+    key, token, grave = "aZ3kq9XwPz7LmN2vQe5RtYu8", "ghp_" + "a1" * 11, "̀"
+    parts = [key, token, "AKIA" + "Q7" * 8, "password", "token", "a_b", "env.x", "command", " : ", ": ", "=", " ", "  ", "\t", "\r", "\x0b", " ", '"', "'", "x", "/etc/x.pem", "${A}", "://u:p@h", "12345678901234567890", "0822455D0A16", "ünï", "😀" * 9, f"e{grave}", "".join(map(chr, range(0x4E00, 0x4E20))), key[::-1] + " "]
+    texts = ["", None, "\n", f"token: abc\rdef {key}", f"command: {key}", f"x: {key} ", f"a {key} b {token} {key}", "key: " * 5_000, "".join(rng.choices(key, k=700_000)) + "\n" + key] + ["".join(rng.choice(parts) if rng.random() < 0.9 else "\n" for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create table documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("secret_audit", "secret_mask"):
+        got = catalogue.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(catalogue.ORACLES[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
+        # each text is read once, whatever is found
+        assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

@@ -12,6 +12,7 @@ from fleetweave.functions import secrets, trees
 from fleetweave.operators import fleet, hierarchy, questions, relations, sections, serve, tiers
 from fleetweave.operators.profile import profile
 from fleetweave.plans import catalogue
+from fleetweave.session import spread
 from fleetweave.sources import device, documents
 from fleetweave.sources.table import leaves
 
@@ -267,3 +268,51 @@ def test_secrets_of_odd_lines(spark, tmp_path):
         assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
         # each text is read once, whatever is found
         assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_yaml_by_either_reader():
+    yaml = pytest.importorskip("yaml")
+    rng = random.Random(6)
+    parts = ["a", "b: ", "- ", "\n", "\n  ", '"x"', "{", "}", "[", "]", ", ", "# c", "|", ">", "1.5", "yes", "~", "&a ", "*a", "? ", ": ", "!!str ", "%", "\t", "---\n", "2020-01-01", "é", "k: v\n", "l:\n- 1\n- 2\n", ".inf", "<<: "]
+
+    def tried(read, text):
+        try:
+            return json.dumps(read(text), default=str)
+        except (yaml.YAMLError, ValueError, TypeError, RecursionError) as e:
+            return type(e).__name__
+
+    for text in ["".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(3_000)] + ["[" * 5_000, "- " * 5_000, "|# c", "a\tb: \t1"]:
+        assert tried(documents.read_yaml, text) == tried(lambda t: json.loads(json.dumps(yaml.safe_load(t), default=str)), text), text
+
+
+def test_yaml_is_read_by_libyaml(monkeypatch):
+    yaml = pytest.importorskip("yaml")
+    if not yaml.__with_libyaml__:
+        pytest.skip("no libyaml")
+    monkeypatch.setattr(yaml.SafeLoader, "get_single_data", lambda self: pytest.fail("the slow reader"))
+    assert documents.read_yaml("a: [1, x]\nb:\n- c: true\n") == {"a": [1, "x"], "b": [{"c": True}]}
+
+
+def test_rows_are_made_a_few_at_a_time():
+    import pyarrow as pa
+
+    alive = [0]
+
+    def work(k):
+        for _ in range(k):
+            alive[0] += 1
+            yield (str(k),)
+
+    counts = [3] * 10_000 + [10_000, 0, 1]
+    batch, most, got = pa.record_batch([pa.array(counts)], ["k"]), 0, 0
+    for out in documents._rows([("v", pa.string())], work)(iter([batch, batch.slice(0, 0)])):
+        most, alive[0] = max(most, alive[0]), 0
+        got += out.num_rows
+    assert got == sum(counts) and most <= documents.MOST_ROWS + 10_000
+
+
+def test_small_files_are_read_in_parts(spark, tmp_path):
+    spark.range(45_000).selectExpr("id p_partkey", "concat('p', id) p_name", "'b' p_brand", "'t m' p_type", "cast(id % 50 as int) p_size", "1d p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalogue.QUERIES["read_words"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= 3 and got.count() == 135_000
+    assert spread(spark.range(10), "id").rdd.getNumPartitions() == spark.range(10).rdd.getNumPartitions()

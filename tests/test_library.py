@@ -316,3 +316,13 @@ def test_small_files_are_read_in_parts(spark, tmp_path):
     got = catalogue.QUERIES["read_words"](spark, str(tmp_path))
     assert got.rdd.getNumPartitions() >= 3 and got.count() == 135_000
     assert spread(spark.range(10), "id").rdd.getNumPartitions() == spark.range(10).rdd.getNumPartitions()
+
+
+def test_paths_that_all_have_stay_apart(spark):
+    rows = [(f"e{k}", p) for k in range(300) for p in ("a", "b") if p == "a" or k]
+    leaves = spark.createDataFrame([(e, p, "v") for e, p in rows], "entity_id string, path string, value string").repartition(8)
+    got = questions.existence(leaves)
+    assert {tuple(r) for r in got.collect()} == {(f"e{k}", "b", "yes") for k in range(1, 300)} | {("e0", "b", "no")}
+    # the leaves of one path are never brought together
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [path" in plan and "SortMergeJoin" not in plan

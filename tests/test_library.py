@@ -12,7 +12,7 @@ from fleetweave.functions import secrets, trees
 from fleetweave.operators import fleet, hierarchy, questions, relations, sections, serve, tiers
 from fleetweave.operators.profile import profile
 from fleetweave.plans import catalogue
-from fleetweave.session import spread
+from fleetweave.session import cut, few, spread
 from fleetweave.sources import device, documents
 from fleetweave.sources.table import leaves
 
@@ -326,3 +326,14 @@ def test_paths_that_all_have_stay_apart(spark):
     # the leaves of one path are never brought together
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin [path" in plan and "SortMergeJoin" not in plan
+
+
+def test_classes_alone_and_sections_apart(spark):
+    same = {"a": 1, "b": "x", "c": True}
+    rows = [(f"h{k}", "net", same | {"a": k % 3}) for k in range(12)] + [(f"g{k}", "solo", {"id": k, "p": 1, "q": 2, "r": 3}) for k in range(4)]
+    lv = spark.createDataFrame(section(rows), documents.SECTION_LEAVES)
+    assert sorted(map(tuple, sections.classes(lv).collect())) == sorted(map(tuple, sections.factor(lv).classes.collect()))
+    # written tables that are small are broadcast, so no side with all leaves is moved by the section
+    one, two = cut(lv), cut(lv.select("section").distinct())
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan(one.join(few(two), "section")) and "BroadcastHashJoin" not in plan(one.join(few(two, 1), "section"))

@@ -337,3 +337,8 @@ def test_classes_alone_and_sections_apart(spark):
     one, two = cut(lv), cut(lv.select("section").distinct())
     plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan(one.join(few(two), "section")) and "BroadcastHashJoin" not in plan(one.join(few(two, 1), "section"))
+
+
+def test_sections_are_parsed_once(spark):
+    got = catalogue.QUERIES["sections_mismatch"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in got._jdf.queryExecution().sparkPlan().toString() and got.first()["differences"] == 0
